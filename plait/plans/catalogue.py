@@ -1,0 +1,4 @@
+"""Queries over the tables of a folder, with the SQL they must agree with."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
