@@ -42,6 +42,23 @@ def text_lines(text: Column) -> Column:
     return F.transform(cut, lambda x: F.regexp_replace(x, "\r\\z", ""))
 
 
+def first_lines(text: Column, n: int) -> Column:
+    """The first n lines as ``text_lines`` has them, without splitting the rest."""
+    parts = F.split(text, "\n", n + 1)
+    size = F.size(parts)
+    whole = F.when((size <= n) & (F.element_at(parts, -1) == ""), F.slice(parts, F.lit(1), size - 1)).otherwise(F.slice(parts, 1, n))
+    return F.transform(whole, lambda x: F.regexp_replace(x, "\r\\z", ""))
+
+
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    return any_of([text.contains(w) for w in words])
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def content_class(text: Column) -> Column:
     """json, logs, code, hex or prose; null is prose like the empty text.
 
@@ -49,19 +66,22 @@ def content_class(text: Column) -> Column:
     character leaves nothing to look at for logs and code.
     """
     text = F.coalesce(text, F.lit(""))
-    raw = F.encode(text, "utf-8")
-    sample = F.substring(raw, 1, costs.SAMPLE_BYTES)
-    seen = F.when(F.is_valid_utf8(sample), F.decode(sample, "utf-8")).otherwise(F.lit(""))
+    sample = F.substring(F.encode(text, "utf-8"), 1, costs.SAMPLE_BYTES)
     opener = text.rlike(r'\A[ \t\n\f\r]*(\{|\[["{\[ntf0-9-])')
-    first_ten = F.slice(text_lines(seen), 1, 10)
-    logs = seen.rlike(alternation(LOG_MARKERS)) | F.exists(first_ten, lambda x: x.rlike(r"\A\s*([0-9]{4}-|[0-9]{10})"))
-    code = seen.rlike(alternation(CODE_MARKERS))
-    # Bytes of the sample: a single-byte reading keeps one character for each byte.
-    single = F.regexp_replace(F.decode(sample, "iso-8859-1"), r"[ \t\n\f\r]", "")
-    other = F.length(F.regexp_replace(single, r"[0-9A-Fa-f+/=_-]", ""))
-    # hex when (all - other) / all >= 0.7, in whole numbers
-    hexed = (F.length(single) > 0) & ((F.length(single) - other) * 10 >= F.length(single) * 7)
-    return F.when(text == "", "prose").when(opener, "json").when(logs, "logs").when(code, "code").when(hexed, "hex").otherwise("prose")
+
+    def of_seen(seen: Column) -> Column:
+        dated = F.exists(first_lines(seen, 10), lambda x: x.rlike(r"\A\s*([0-9]{4}-|[0-9]{10})"))
+        return F.when(contains_any(seen, LOG_MARKERS), "logs").when(dated, "logs").when(contains_any(seen, CODE_MARKERS), "code")
+
+    def of_bytes(single: Column) -> Column:
+        """One character for each byte of the sample that is no white space."""
+        hexed = F.length(F.regexp_replace(single, r"[^0-9A-Fa-f+/=_-]+", ""))
+        # hex when hexed / all >= 0.7, in whole numbers
+        return F.when((F.length(single) > 0) & (hexed * 10 >= F.length(single) * 7), "hex").otherwise("prose")
+
+    told = let(F.when(F.is_valid_utf8(sample), F.decode(sample, "utf-8")).otherwise(F.lit("")), of_seen)
+    rest = let(F.regexp_replace(F.decode(sample, "iso-8859-1"), r"[ \t\n\f\r]+", ""), of_bytes)
+    return F.when(text == "", "prose").when(opener, "json").otherwise(F.coalesce(told, rest))
 
 
 def bytes_per_token(klass: Column) -> Column:
@@ -77,28 +97,36 @@ def estimated_tokens(n_bytes: Column, klass: Column) -> Column:
 
 def anomaly_score(line: Column) -> Column:
     low = ascii_lower(line)
-    flag = lambda words, n: F.when(low.rlike(alternation(words)), n).otherwise(0)
+    flag = lambda words, n: F.when(contains_any(low, words), n).otherwise(0)
     return F.lit(1) + flag(SEVERE, 10) + flag(WARNING, 5) + flag(FAILING, 8) + F.when(F.octet_length(line) > 200, 2).otherwise(0)
 
 
+# What a line of a format looks like; (?d) makes a line feed the only line end.
+PYTEST = r"(?md)^(===.*test session starts|PASSED|FAILED|(?=.*::test_).*(PASSED|FAILED))"
+CARGO = r"(?md)^(   (Compiling|Finished|Running) |test result:|error\[E|warning\[|test .*( \.\.\. ok| \.\.\. FAILED))"
+DIFF = r"(?md)^(diff --git |@@ )"
+STATUS = r"(?md)^((Changes to be committed:|Changes not staged for commit:|Untracked files:)$|On branch |\tmodified:|\tnew file:)"
+PACKAGE = r"(?md)^(npm warn |npm notice |Downloading |Collecting |Requirement already satisfied|Successfully installed |(?=.*added ).*packages)"
+
+
 def detect_format(text: Column) -> Column:
     """Name of the first format that the first 40 lines show, else null."""
-    ls = F.slice(text_lines(F.coalesce(text, F.lit(""))), 1, 40)
-    some = lambda p: F.exists(ls, lambda x: x.rlike(p))
-    pytest = some(r"\A===.*test session starts") | some(r"\A(PASSED|FAILED)") | F.exists(ls, lambda x: x.contains("::test_") & x.rlike("PASSED|FAILED"))
-    cargo = some(r"\A(   (Compiling|Finished|Running) |test result:|error\[E|warning\[|test .*( \.\.\. ok| \.\.\. FAILED))")
-    diff = some(r"\A(diff --git |@@ )") | (some(r"\A--- a/") & some(r"\A\+\+\+ b/"))
-    status = some(r"\A(Changes to be committed:\z|Changes not staged for commit:\z|Untracked files:\z|On branch |\tmodified:|\tnew file:)")
-    filled = F.filter(ls, lambda x: x != "")
-    matching = F.size(F.filter(F.slice(ls, 1, 10), lambda x: x.rlike(r"\A[0-9A-Fa-f]{7,12} ")))
-    log = (F.size(filled) > 1) & (matching == F.least(F.size(filled), F.lit(10)))
-    package = some(r"\A(npm warn |npm notice |Downloading |Collecting |Requirement already satisfied|Successfully installed )") | F.exists(ls, lambda x: x.contains("added ") & x.contains("packages"))
-    records = F.size(F.filter(filled, lambda x: F.trim(x).rlike(r"(?s)\A(\{.*\}|\[.*\])\z")))
-    jsonl = (F.size(filled) >= 2) & (records * 2 >= F.size(filled))
-    out = F.when(F.size(ls) == 0, F.lit(None).cast("string"))
-    for name, hit in (("pytest", pytest), ("cargo", cargo), ("git-diff", diff), ("git-status", status), ("git-log", log), ("package-manager", package), ("jsonl", jsonl)):
-        out = out.when(hit, name)
-    return out
+
+    def of_lines(ls: Column) -> Column:
+        filled = F.filter(ls, lambda x: x != "")
+        hashes = F.size(F.filter(F.slice(ls, 1, 10), lambda x: x.rlike(r"\A[0-9A-Fa-f]{7,12} ")))
+        log = (F.size(filled) > 1) & (hashes == F.least(F.size(filled), F.lit(10)))
+        records = F.size(F.filter(filled, lambda x: F.trim(x).rlike(r"(?s)\A(\{.*\}|\[.*\])\z")))
+        jsonl = (F.size(filled) >= 2) & (records * 2 >= F.size(filled))
+
+        def of_head(h: Column) -> Column:
+            diff = h.rlike(DIFF) | (h.rlike(r"(?md)^--- a/") & h.rlike(r"(?md)^\+\+\+ b/"))
+            early = F.when(h.rlike(PYTEST), "pytest").when(h.rlike(CARGO), "cargo").when(diff, "git-diff").when(h.rlike(STATUS), "git-status")
+            return early.when(log, "git-log").when(h.rlike(PACKAGE), "package-manager").when(jsonl, "jsonl")
+
+        return F.when(F.size(ls) > 0, let(F.array_join(ls, "\n"), of_head))
+
+    return let(first_lines(F.coalesce(text, F.lit("")), 40), of_lines)
 
 
 def format_or_hint(text: Column, hint: Column) -> Column:

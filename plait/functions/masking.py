@@ -58,8 +58,14 @@ def _kind(m: re.Match) -> str | None:
     return kind
 
 
+#: Every kind holds one of these, so a text without them has no secret.
+HINTS = ("AKIA", "ghp_", "gho_", "github_pat_", "xox", "AIza", "npm_", "Bearer ", "_authToken=", "password=", "secret=", "token=", "api_key=", "-----BEGIN", "://", "eyJ")
+
+
 def mask(text: str) -> tuple[str, int]:
     """The masked text and the number of secrets."""
+    if not any(h in text for h in HINTS):
+        return text, 0
     out, at, n = [], 0, 0
     pos = 0
     while m := _ALL.search(text, pos):

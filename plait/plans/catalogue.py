@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, costs, masking
-from ..operators import blobs, ledger, lines, sessions, telemetry, views
+from ..operators import blobs, ledger, lines, sessions, telemetry, tools, views
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,3 +519,68 @@ def stream_counters(spark, sf_dir):
     from ..streaming import streams
 
     return _streamed(spark, usage_of(spark, sf_dir), streams.counters_stream, "complete")
+
+
+@query("SELECT key, seq, id, CASE WHEN prev IS NULL THEN 'first' WHEN prev = id THEN 'unchanged' ELSE 'diff' END AS kind FROM (SELECT conv_id AS key, turn AS seq, sha256(text) AS id, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations)")
+def stream_session(spark, sf_dir):
+    from ..streaming import streams
+
+    return _streamed(spark, versions_of(spark, sf_dir).repartition(1, "key"), streams.session_stream).select("key", "seq", "id", "kind")
+
+
+@query(f"WITH {_USAGE} SELECT tool, seq, (sum(is_retrieve) OVER w)::BIGINT AS hits, count(*) OVER w AS n_recent FROM usage WINDOW w AS (PARTITION BY tool ORDER BY seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+def stream_recent_rate(spark, sf_dir):
+    from ..streaming import streams
+
+    rows = usage_of(spark, sf_dir).select("tool", "seq", "is_retrieve").repartition(1, "tool")
+    return _streamed(spark, rows, streams.recent_rate_stream).select("tool", "seq", "hits", "n_recent")
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^:]+://([^/:?#]*)', 1) AS host, CASE WHEN starts_with(url, 'https') THEN 443 ELSE 80 END AS port, CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]+://[^/?#]*(/[^?#]*)', 1) END AS path FROM pages")
+def url_parts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tools.url_parts(F.col("url")).alias("u")).select("page_id", "u.host", "u.port", "u.path")
+
+
+@query("SELECT doc_id, trim(regexp_replace(left(text, 80), '\\s+', ' ', 'g')) AS preview, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE printf('%.1f KB', floor(strlen(text) / 102.4::DOUBLE + 0.5) / 10) END AS size FROM documents")
+def previews(spark, sf_dir):
+    return docs_of(spark, sf_dir).select("doc_id", classify.preview(F.col("text")).alias("preview"), classify.human_bytes(F.octet_length("text")).alias("size"))
+
+
+@query("SELECT conv_id, turn, 'session:' || left(text, 600) AS key, substr(sha256(conv_id::VARCHAR), 1, 8) AS session_id FROM conversations WHERE text <> ''")
+def session_keys(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("text <> ''")
+    payload = F.to_json(F.struct(F.lit("").alias("command"), F.col("text").alias("query")))
+    return c.select("conv_id", "turn", classify.session_key(payload).alias("key"), tools.session_id(F.col("conv_id")).alias("session_id"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, count_if(contains(line, 'token'))::BIGINT AS n_markers FROM lines GROUP BY doc_id")
+def marker_guidance(spark, sf_dir):
+    return ledger.guidance(docs_of(spark, sf_dir).where("text is not null"), "token")
+
+
+@query("SELECT 3::BIGINT AS dates, count(DISTINCT user_id) AS sessions, sum(strlen(props))::BIGINT AS size_bytes FROM events")
+def path_metadata(spark, sf_dir):
+    """Metadata that paths alone tell: three dates, a session for each user."""
+    e = table(spark, sf_dir, "events")
+    path = F.concat(F.lit("/harvest/2024-01-0"), (F.col("event_id") % 3 + 1).cast("string"), F.lit("/s"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".jsonl"))
+    return files.path_metadata(e.select(path.alias("path"), F.octet_length("props").alias("length"), F.col("ts").alias("modificationTime"))).drop("updated_at")
+
+
+@query()
+def auto_compressed_responses(spark, sf_dir):
+    d = docs_of(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % 10 == 0).alias("is_error"))
+    return tools.auto_compress(d).drop("body")
+
+
+@query()
+def hook_savings(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("seq"), F.col("role").alias("tool"), F.col("text").alias("content"))
+    return tools.hook_savings(c, 200)
+
+
+@query("SELECT n_name AS name, 'Reads ' || n_name AS description, '{\"properties\":{\"n\":{\"type\":\"number\"}},\"required\":[\"n\"],\"type\":\"object\"}' AS schema FROM nation")
+def trimmed_tools(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    schema = '{"type":"object","title":"x","properties":{"n":{"type":"number","description":"how many"}},"required":["n"]}'
+    told = F.concat(F.lit("Reads "), F.col("n_name"), F.lit("\nand says more. And more."))
+    return tools.trim_tools(n.select(F.col("n_name").alias("name"), told.alias("description"), F.lit(schema).alias("schema")))
