@@ -116,24 +116,32 @@ def diffs(versions: DataFrame) -> DataFrame:
     return rows.select("key", "seq", "prev_id", "id", *[F.col("v")[f.name].alias(f.name) for f in _OPS])
 
 
-def overlaps(docs: DataFrame, min_lines: int = costs.CROSS_KEY_MIN_LINES, max_docs: int = 100) -> DataFrame:
-    """(key, other, n_lines, overlap): an earlier key that holds at least a third of a document's lines; docs: (key, seq, content).
+def overlaps(docs: DataFrame, min_lines: int = costs.CROSS_KEY_MIN_LINES) -> DataFrame:
+    """(key, other, n_lines, overlap): the earlier document that holds most of a document's lines, a third at least.
 
-    A line that more than ``max_docs`` documents hold does not *propose* a partner, but counts for partners that rarer lines
-    propose. Each document also meets the document that was first with each of its lines, so a line that all hold proposes one partner
-    a document and not all pairs. The choice is by overlap, then key.
+    docs: (key, seq, content); null content has no lines. Ties go to the earliest, then the smallest key. Copies of a content share
+    their first document, so only distinct contents meet. A content of n lines needs a partner for ceil(n / 3) of them, so it
+    shares one of its *rarest* lines with each partner: the lines that very many hold, and whose copies together are fewer than
+    that, propose no pair. Pairs that meet are counted over all lines.
     """
-    lines = docs.select("key", "seq", F.explode(F.split("content", "\n", -1)).alias("line")).groupBy("key", "seq", "line").agg(F.count(F.lit(1)).alias("copies"))
-    total = docs.select("key", F.size(F.split("content", "\n", -1)).cast("long").alias("n_lines"))
-    spread = W.partitionBy("line")
-    held = lines.withColumns({"n_docs": F.count(F.lit(1)).over(spread), "first_key": F.min_by("key", F.struct("seq", "key")).over(spread), "first_seq": F.min("seq").over(spread)})
-    rare = held.where(F.col("n_docs").between(2, max_docs))
-    a, b = rare.alias("a"), rare.select("line", F.col("key").alias("other"), F.col("seq").alias("other_seq")).alias("b")
-    near = a.join(b, "line").where("other_seq < a.seq").select("key", "other")
-    common = held.where((F.col("n_docs") > max_docs) & (F.col("first_seq") < F.col("seq"))).select("key", F.col("first_key").alias("other"))
-    pairs = near.unionByName(common).distinct()
-    theirs = lines.select(F.col("key").alias("other"), "line")
-    shared = pairs.join(lines.select("key", "line", "copies"), "key").join(theirs, ["other", "line"]).groupBy("key", "other").agg(F.sum("copies").alias("overlap"))
-    fit = shared.join(total, "key").where((F.col("n_lines") >= min_lines) & (F.col("overlap") * 3 >= F.col("n_lines")))
-    best = F.row_number().over(W.partitionBy("key").orderBy(F.desc("overlap"), "other"))
-    return fit.withColumn("rank", best).where("rank = 1").select("key", "other", "n_lines", "overlap")
+    rows = docs.where("content is not null").withColumn("id", F.sha2(F.col("content").cast("binary"), 256))
+    own = rows.groupBy("id").agg(F.min(F.struct("seq", "key")).alias("head"), F.first("content").alias("content"))
+    lines = own.select("id", "head", F.explode(F.split("content", "\n", -1)).alias("line")).groupBy("id", "head", "line").agg(F.count(F.lit(1)).cast("long").alias("copies"))
+    held = lines.groupBy("line").agg(F.count(F.lit(1)).alias("holders"))
+    ranked = lines.join(held, "line")
+    of_doc = W.partitionBy("id")
+    rest = F.sum("copies").over(of_doc.orderBy(F.desc("holders"), F.desc("line")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = ranked.withColumns({"n_lines": F.sum("copies").over(of_doc), "rest": rest})
+    need = F.ceil(F.col("n_lines") / 3)
+    prefix = ranked.where((F.col("n_lines") >= min_lines) & (F.col("rest") >= need) & (F.col("holders") > 1))
+    theirs = lines.select(F.col("id").alias("other_id"), F.col("head").alias("other_head"), "line")
+    pairs = prefix.join(theirs, "line").where(F.col("other_head") < F.col("head")).select("id", "n_lines", "other_id", "other_head").distinct()
+    met = pairs.join(lines.select("id", "line", "copies"), "id").join(theirs.select("other_id", "line"), ["other_id", "line"])
+    sums = met.groupBy("id", "n_lines", "other_head").agg(F.sum("copies").alias("overlap")).where(F.col("overlap") * 3 >= F.col("n_lines"))
+    best = sums.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "other_head")).alias("b"))
+    # A later copy of a content has its first document as a partner for all lines, unless that has such a partner itself.
+    n = F.size(F.split("content", "\n", -1)).cast("long")
+    each = rows.select("key", "id", F.struct("seq", "key").alias("me"), n.alias("n_lines")).join(own.select("id", "head"), "id").join(best, "id", "left")
+    later = (F.col("me") != F.col("head")) & (F.col("n_lines") >= min_lines) & (F.coalesce(-F.col("b.less"), F.lit(0)) < F.col("n_lines"))
+    out = each.select("key", F.when(later, F.col("head.key")).otherwise(F.col("b.other_head.key")).alias("other"), "n_lines", F.when(later, F.col("n_lines")).otherwise(-F.col("b.less")).alias("overlap"))
+    return out.where("other is not null")

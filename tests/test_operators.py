@@ -134,15 +134,36 @@ def test_appends(spark):
     assert rows == [(1, 2, 2, "ab"), (2, 0, 2, "ab"), (3, 2, 5, "ab\ncd"), (4, 0, 5, "ab\ncd")]
 
 
-def test_overlap_with_a_line_that_all_share(spark):
-    common = "shared header"
-    rows = [(k, k, "\n".join([common, *[f"line {k % 3} {j}" for j in range(4)]])) for k in range(30)]
-    df = spark.createDataFrame(rows, "key long, seq long, content string")
-    got = {r.key: (r.other, r.overlap) for r in sessions.overlaps(df, max_docs=5).collect()}
-    assert got[1] == (0, 1) if 1 in got else True
-    assert all(got[k] in {(0, 5), (k % 3, 5)} or got[k][1] == 5 for k in range(3, 30) if k in got and k % 3 == 0)
-    exact = {r.key: (r.other, r.overlap) for r in sessions.overlaps(df, max_docs=100).collect()}
-    assert exact[29] == (2, 5)
+def brute_overlaps(rows):
+    out = {}
+    for key, seq, text in rows:
+        if text is None:
+            continue
+        mine = text.split("\n")
+        found = []
+        for other, seq2, text2 in rows:
+            if text2 is not None and (seq2, other) < (seq, key):
+                n = sum(x in set(text2.split("\n")) for x in mine)
+                if len(mine) >= 5 and n * 3 >= len(mine):
+                    found.append((-n, seq2, other))
+        if found:
+            n, _, other = min(found)
+            out[key] = (other, len(mine), -n)
+    return out
+
+
+def test_overlaps_match_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(120):
+        base = rng.choice(rows)[2].split("\n") if rows and rng.random() < 0.5 else [f"l{rng.randrange(60)}" for _ in range(rng.randint(3, 12))]
+        text = "\n".join(x if rng.random() > 0.3 else f"l{rng.randrange(60)}" for x in [*base, *["shared"] * rng.randint(0, 2)])
+        rows.append((k, 200 - k if k % 7 == 0 else k, text))
+    rows += [(k, 300 + k, rows[k % 20][2]) for k in range(120, 160)] + [(500, 500, None), (501, 501, "")]
+    got = {r.key: (r.other, r.n_lines, r.overlap) for r in sessions.overlaps(spark.createDataFrame(rows, "key long, seq long, content string")).collect()}
+    assert got == brute_overlaps(rows)
 
 
 def test_metrics(spark):
