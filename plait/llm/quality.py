@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, materialise, words_of
+from .common import materialise, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -170,7 +170,3 @@ def quality_filter(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Stage: the rows of ``docs`` that are kept, with their columns."""
     measured = materialise(docs.withColumn("__plait_m", measures(F.col("text"))), "measured")
     return judge(measured, min_rows=min_rows).where("__plait_kept").select(*docs.columns)
-
-
-#: The word pattern of the measures, for tests.
-WORD_SPACE = SPACE_CLASS

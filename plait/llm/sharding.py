@@ -116,13 +116,13 @@ def assign(rows: DataFrame, shards: int = 16, headroom: float = 0.0, replicas: i
     by_arc = {r.arc: r.n for r in placed.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     room = capacities(sum(by_arc.values()), shards, headroom)
     runs = plan([s for _, s in nodes], [by_arc.get(k, 0) for k in range(len(nodes))], room)
-    table = _table(spark, runs, "run_arc int, lo bigint, hi bigint, shard int, first bigint")
+    table = _table(spark, runs, "__plait_run int, __plait_lo bigint, __plait_hi bigint, __plait_shard int, __plait_first bigint")
     order = W.partitionBy("__plait_at").orderBy("__plait_key", "doc_id", "__plait_crc", "__plait_size")
     out = rows.withColumn("__plait_at", at).withColumn("__plait_rank", F.row_number().over(order) - 1)
     out = out.join(F.broadcast(placed.select("__plait_at", F.col("arc").alias("__plait_arc"), F.col("home").alias("__plait_home"), F.col("before").alias("__plait_before"))), "__plait_at")
     rank = F.col("__plait_before") + F.col("__plait_rank")
-    out = out.join(F.broadcast(table), (F.col("__plait_arc") == F.col("run_arc")) & (rank >= F.col("lo")) & (rank < F.col("hi")))
-    return out.select(*rows.columns, "__plait_home", F.col("shard").alias("__plait_shard"), (F.col("first") + rank - F.col("lo")).alias("__plait_slot"))
+    out = out.join(F.broadcast(table), (F.col("__plait_arc") == F.col("__plait_run")) & (rank >= F.col("__plait_lo")) & (rank < F.col("__plait_hi")))
+    return out.select(*rows.columns, "__plait_home", "__plait_shard", (F.col("__plait_first") + rank - F.col("__plait_lo")).alias("__plait_slot"))
 
 
 def shard_report(docs: DataFrame, shards: int = 16, **options) -> DataFrame:

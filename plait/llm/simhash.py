@@ -182,7 +182,6 @@ def links(fps: DataFrame, radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFr
     """
     if not 0 <= radius <= 3:
         raise ValueError("five blocks of which two must agree allow a radius of 3 at most")
-    spark = fps.sparkSession
     levels = cell_masks(REFINE_ROUNDS)
     keys = [F.struct(F.lit(k).alias("cell"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for k, m in enumerate(levels[0])]
     now = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.cell", "k.bits")
@@ -229,7 +228,7 @@ def links(fps: DataFrame, radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFr
             yield _edges(np.zeros(held.num_rows, dtype=np.int64), held.column("fp").to_numpy(), radius)
 
     out = rows.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(run, "a long, b long")
-    return materialise(out.distinct(), "links") if spark else out
+    return materialise(out.distinct(), "links")
 
 
 def _edges(ids: np.ndarray, fp: np.ndarray, radius: int) -> pa.RecordBatch:

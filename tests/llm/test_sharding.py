@@ -42,6 +42,12 @@ def test_headroom_bounds_loads_and_limits_movement(spark):
     assert all(b[k][0] in (a[k][0], 16) for k in a)
 
 
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([(k, f"t{k}", k, k, k, k) for k in range(40)], "doc_id long, text string, shard int, lo int, n int, arc int")
+    out = sharding.assign(sharding.measured(df)).collect()
+    assert len(out) == 40 and all(r.shard == r.lo == r.n == r.arc == r.doc_id for r in out)
+
+
 def test_overflow_goes_clockwise():
     # three arcs of shards 0, 1, 2; shard 0 overflows into 1, which is then full and passes on to 2
     assert sharding.plan([0, 1, 2], [6, 1, 0], [3, 3, 3]) == [(0, 0, 3, 0, 0), (1, 0, 1, 1, 0), (0, 3, 5, 1, 1), (0, 5, 6, 2, 0)]
