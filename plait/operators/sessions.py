@@ -101,7 +101,7 @@ def apply_ops(old: pd.Series, new: pd.Series, kind: pd.Series, ops: pd.Series) -
     """The version again: from the one before and a diff, or as stored."""
 
     def one(a, b, k, o):
-        if k == "unchanged":
+        if k == "unchanged" or (k == "diff" and a is None):
             return a
         if k != "diff":
             return b
@@ -116,6 +116,37 @@ def diffs(versions: DataFrame) -> DataFrame:
     return rows.select("key", "seq", "prev_id", "id", *[F.col("v")[f.name].alias(f.name) for f in _OPS])
 
 
+def compress(versions: DataFrame) -> DataFrame:
+    """Session views (key, seq, kind, id, prev_id, body, view_bytes): body is the text of first and full views and the operations of diffs."""
+    rows = with_previous(versions).withColumn("v", version_view("prev_content", "content"))
+    body = F.when(F.col("v.kind") == "diff", F.col("v.ops")).when(F.col("v.kind").isin("first", "full"), F.col("content"))
+    return rows.select("key", "seq", F.col("v.kind").alias("kind"), "id", "prev_id", body.alias("body"), F.col("v.view_bytes").alias("view_bytes"))
+
+
+def decompress(made: DataFrame, store: DataFrame) -> DataFrame:
+    """(key, seq, content) of session views and the store (id, content) of earlier versions; a missing version gives null."""
+    needs = F.when(F.col("kind").isin("diff", "unchanged"), F.col("prev_id"))
+    rows = made.withColumn("need", needs).join(store.select(F.col("id").alias("need"), F.col("content").cast("string").alias("old")), "need", "left")
+    whole = F.when(F.col("kind").isin("first", "full"), F.col("body"))
+    content = F.when((F.col("kind") == "diff") & F.col("old").isNotNull(), apply_ops("old", "body", "kind", "body")).when(F.col("kind") == "unchanged", F.col("old")).otherwise(whole)
+    return rows.select("key", "seq", content.alias("content"))
+
+
+def references(made: DataFrame) -> DataFrame:
+    """(view_id, id): the versions that session views need."""
+    return made.where(F.col("kind").isin("diff", "unchanged")).select(F.struct("key", "seq").alias("view_id"), F.col("prev_id").alias("id"))
+
+
+def cross_key_views(docs: DataFrame) -> DataFrame:
+    """First versions as diffs to the document of another key that overlaps most, where that is smaller: (key, other, n_bytes, view_bytes, ops)."""
+    near = overlaps(docs).select("key", "other")
+    text = docs.select("key", "content")
+    pairs = near.join(text, "key").join(text.select(F.col("key").alias("other"), F.col("content").alias("old")), "other")
+    rows = pairs.withColumn("v", version_view("old", "content")).withColumn("n_bytes", F.octet_length("content").cast("long"))
+    size = F.when(F.col("v.kind") == "unchanged", F.lit(costs.DIFF)).otherwise(F.col("v.view_bytes"))
+    return rows.select("key", "other", "n_bytes", size.cast("long").alias("view_bytes"), F.col("v.ops").alias("ops")).where("view_bytes < n_bytes")
+
+
 def overlaps(docs: DataFrame, min_lines: int = costs.CROSS_KEY_MIN_LINES) -> DataFrame:
     """(key, other, n_lines, overlap): the earlier document that holds most of a document's lines, a third at least.
 

@@ -115,6 +115,123 @@ def decompress(made: DataFrame, store: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, text string")
 
 
+def _raw_view(raw: bytes | None, **options):
+    """A view of bytes: lines of UTF-8 text, else a reference to the whole."""
+    if raw is None:
+        return "text", None, None, None, [], []
+    try:
+        return _pack("text", raw.decode(), *views.compress_text(raw.decode(), **options))
+    except UnicodeDecodeError:
+        ref = views.blob_id(raw)
+        view = [("W", 0, ref, "")]
+        return "raw", views.render(view), len(raw), views.view_bytes(view), [ref], [{"id": ref, "content": raw}]
+
+
+def compress_bytes(docs: DataFrame, column: str = "content", **options) -> DataFrame:
+    """Line views of (doc_id, binary); what is no UTF-8 is stored whole."""
+
+    def run(batches):
+        for b in batches:
+            yield _rows(b, [_raw_view(c.as_py(), **options) for c in b.column(1)])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("content")).mapInArrow(run, SCHEMA)
+
+
+def decompress_bytes(made: DataFrame, store: DataFrame) -> DataFrame:
+    """(doc_id, content) as bytes, of views of any kind but JSON."""
+    raw = made.where("kind = 'raw'").select("doc_id", F.col("refs")[0].alias("id")).join(store.select("id", "content"), "id", "left").select("doc_id", "content")
+    text = decompress(made.where("kind <> 'raw'"), store).select("doc_id", F.col("text").cast("binary").alias("content"))
+    return text.unionByName(raw)
+
+
+# JSON with subtrees in the store.
+
+
+def compress_json(docs: DataFrame, store: DataFrame) -> DataFrame:
+    """Views of JSON texts in which subtrees that the store (id, ...) holds are references; new subtrees are stored.
+
+    "Holds" means before this batch, or earlier in the same document. Documents of one batch do not see each other: run batches in
+    the order of calls to let later ones refer to earlier ones. Texts that are no JSON have a null body.
+    """
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def listed(batches):
+        for b in batches:
+            ids, refs = [], []
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                try:
+                    blobs: dict[str, bytes] = {}
+                    jsontree.store_subtrees(jsontree.columnarize(jsontree.escape(jsontree.parse(t.as_py()))), set(), blobs)
+                except (ValueError, TypeError):
+                    continue
+                ids += [d] * len(blobs)
+                refs += list(blobs)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(refs, pa.string())], names=["doc_id", "id"])
+
+    there = src.mapInArrow(listed, "doc_id long, id string").join(store.select("id").distinct(), "id", "left_semi")
+    known = there.groupBy("doc_id").agg(F.collect_set("id").alias("known"))
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for t, k in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                try:
+                    text, blobs = t.as_py(), {}
+                    value = jsontree.store_subtrees(jsontree.columnarize(jsontree.escape(jsontree.parse(text))), set(k or ()), blobs)
+                except (ValueError, TypeError):
+                    made.append(("json", None, None, None, [], []))
+                    continue
+                body = jsontree.canonical(value)
+                held = [{"id": i, "content": c} for i, c in blobs.items()]
+                made.append(("json", body, views.size_of(text), views.size_of(body), sorted(set(jsontree.stored_refs(value))), held))
+            yield _rows(b, made)
+
+    return src.join(known, "doc_id", "left").select("doc_id", "text", "known").mapInArrow(run, SCHEMA)
+
+
+def decompress_json(made: DataFrame, store: DataFrame, depth: int = 32) -> DataFrame:
+    """(doc_id, text): stored subtrees are put back round by round, as they may refer to others. Missing ones give null text."""
+    rows = made.select("doc_id", "body")
+    for _ in range(depth):
+        found = _refs_of_bodies(rows)
+        if found.isEmpty():
+            break
+        held = found.join(store.select("id", F.col("content").cast("string").alias("content")), "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "content")).alias("held"))
+        rows = rows.join(held, "doc_id", "left").mapInArrow(_put_back, "doc_id long, body string")
+
+    def run(batches):
+        for b in batches:
+            texts = [None if t.as_py() is None else jsontree.canonical(jsontree.unescape(jsontree.restore(json.loads(t.as_py())))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, text string")
+
+
+def _refs_of_bodies(rows: DataFrame) -> DataFrame:
+    pattern = '\\{"~x":"([0-9a-f]{64})"\\}'
+    return rows.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)))).alias("id"))
+
+
+def _put_back(batches):
+    for b in batches:
+        out = []
+        for body, held in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+            blobs = {x["id"]: x["content"] for x in held or ()}
+            try:
+                out.append(None if body.as_py() is None else jsontree.canonical(_one_round(json.loads(body.as_py()), blobs)))
+            except KeyError:
+                out.append(None)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "body"])
+
+
+def _one_round(value, blobs: dict[str, str]):
+    if isinstance(value, dict) and len(value) == 1 and jsontree.STORED in value:
+        return json.loads(blobs[value[jsontree.STORED]])
+    if isinstance(value, dict):
+        return {k: _one_round(v, blobs) for k, v in value.items()}
+    return [_one_round(v, blobs) for v in value] if isinstance(value, list) else value
+
+
 def header(kind: str) -> int:
     return costs.HEADER["json" if kind == "json" else "session" if kind == "session" else "text"]
 
