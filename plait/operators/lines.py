@@ -27,7 +27,8 @@ def digits(n: Column) -> Column:
 
 def explode_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, line), numbered from 0; trailing empty lines stay."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return rows.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def segments(docs: DataFrame, threshold: int = costs.LINE_THRESHOLD, head: int =
     parts = F.when(pays, F.array(one("L", F.lit(0), 0), one("R", F.col("run"), 1))).otherwise(F.array_repeat(one("L", F.lit(0), 0), F.col("run").cast("int")))
     literal = shown.select("doc_id", "first_line", "line", F.posexplode(parts).alias("k", "s")).select("doc_id", "first_line", "k", "s.op", "s.n", F.lit(None).cast("string").alias("ref"), "line")
     hole = elided(zoned).select("doc_id", "first_line", F.lit(0).alias("k"), F.lit("E").alias("op"), F.col("n").cast("long").alias("n"), "ref", F.lit(None).cast("string").alias("line"))
-    view = literal.unionByName(hole).withColumn("seg_no", F.row_number().over(of_doc().orderBy("first_line", "k")) - 1)
+    view = literal.unionByName(hole).withColumn("seg_no", (F.row_number().over(of_doc().orderBy("first_line", "k")) - 1).cast("long"))
     first = F.min(F.when(F.col("op") == "L", F.col("seg_no"))).over(W.partitionBy("doc_id", "line"))
     back = (F.col("op") == "L") & (F.col("seg_no") > first) & (costs.DEDUP + digits(first) < F.octet_length("line"))
     return view.select("doc_id", "seg_no", F.when(back, "D").otherwise(F.col("op")).alias("op"), F.when(back, first.cast("long")).otherwise(F.col("n")).alias("n"), "ref", F.when((F.col("op") == "L") & ~back, F.col("line")).alias("line"))
@@ -116,7 +117,7 @@ def scored(lines: DataFrame) -> DataFrame:
 
 def top_lines(lines: DataFrame, k: int) -> DataFrame:
     """The k highest scores of each document, ties by position."""
-    rank = F.row_number().over(of_doc().orderBy(F.desc("score"), "line_no"))
+    rank = F.row_number().over(of_doc().orderBy(F.desc("score"), "line_no")).cast("long")
     return scored(lines).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -131,7 +132,8 @@ def gap_groups(lines: DataFrame, keep: Column) -> DataFrame:
 
 def read_lines(docs: DataFrame) -> DataFrame:
     """Lines as a reader sees them: no trailing empty line, no carriage return."""
-    return docs.select("doc_id", F.posexplode(classify.text_lines(F.col("text"))).alias("line_no", "line"))
+    rows = docs.select("doc_id", F.posexplode(classify.text_lines(F.col("text"))).alias("line_no", "line"))
+    return rows.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 def line_range(lines: DataFrame, first: int, last: int) -> DataFrame:

@@ -143,7 +143,8 @@ def elide_middle(spark, sf_dir):
     return lines.elided(lines.zones(lines.explode_lines(docs_of(spark, sf_dir)), 20, 5, 5)).drop("content")
 
 
-_SEGS = f"""WITH {_LINES}, {_zoned(20, 5, 5).replace("zoned AS", "z AS")}, zoned AS (SELECT * FROM z WHERE zone <> 'middle'), {_RUNS},
+def _segs(threshold: int, head: int, tail: int) -> str:
+    return f"""WITH {_LINES}, {_zoned(threshold, head, tail).replace("zoned AS", "z AS")}, zoned AS (SELECT * FROM z WHERE zone <> 'middle'), {_RUNS},
  marked AS (SELECT *, (run >= 3 AND strlen(line) + 24 + len(run::VARCHAR) < (strlen(line) + 1) * run) AS pays FROM runs),
  parts AS (SELECT doc_id, first_line, unnest(range(CASE WHEN pays THEN 1 ELSE run END)) AS k, 'L' AS op, 0 AS n, line, NULL AS ref FROM marked
   UNION ALL SELECT doc_id, first_line, 1, 'R', run, NULL, NULL FROM marked WHERE pays
@@ -153,6 +154,11 @@ _SEGS = f"""WITH {_LINES}, {_zoned(20, 5, 5).replace("zoned AS", "z AS")}, zoned
  segs AS (SELECT doc_id, seg_no, CASE WHEN b THEN 'D' ELSE op END AS op, CASE WHEN b THEN f ELSE n END AS n, ref, CASE WHEN op = 'L' AND NOT b THEN line END AS line FROM (SELECT *, (op = 'L' AND seg_no > f AND 23 + len(f::VARCHAR) < strlen(line)) AS b FROM firsts)) """
 
 
+_SEGS = _segs(20, 5, 5)
+_SIZES = "sizes AS (SELECT doc_id, (sum(CASE op WHEN 'L' THEN strlen(line) WHEN 'R' THEN 23 + len(n::VARCHAR) WHEN 'E' THEN 87 + len(n::VARCHAR) ELSE 23 + len(n::VARCHAR) END) + count(*) - 1)::BIGINT AS view_bytes, count_if(op = 'E')::INTEGER AS n_refs FROM segs GROUP BY doc_id)"
+
+
+
 @query(_SEGS + "SELECT doc_id, seg_no, op, n::BIGINT AS n, ref, line FROM segs")
 def text_segments(spark, sf_dir):
     return lines.segments(docs_of(spark, sf_dir), 20, 5, 5)
@@ -177,7 +183,7 @@ def view_roundtrip(spark, sf_dir):
     return views.decompress(made, views.stored(made))
 
 
-@query(f"WITH {_LINES}, {_zoned(20, 5, 5)}, r AS (SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS id FROM zoned WHERE zone = 'middle' GROUP BY doc_id), s AS (SELECT DISTINCT id FROM r WHERE id < '8') SELECT doc_id AS view_id, count(*) AS checked_refs, count_if(id NOT IN (SELECT id FROM s)) AS n_missing, bool_and(id IN (SELECT id FROM s)) AS ok FROM r GROUP BY doc_id")
+@query(f"WITH {_LINES}, {_zoned(20, 5, 5)}, r AS (SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS id FROM zoned WHERE zone = 'middle' GROUP BY doc_id), s AS (SELECT DISTINCT id FROM r WHERE id < '8') SELECT doc_id AS view_id, count(*) AS checked_refs, count_if(id NOT IN (SELECT id FROM s))::BIGINT AS n_missing, bool_and(id IN (SELECT id FROM s)) AS ok FROM r GROUP BY doc_id")
 def verify_views(spark, sf_dir):
     """Views against a store that lost every blob whose id starts with 8 or higher."""
     made = lines.elided(lines.zones(lines.explode_lines(docs_of(spark, sf_dir)), 20, 5, 5))
@@ -196,7 +202,7 @@ def anomaly_top_lines(spark, sf_dir):
     return lines.top_lines(lines.explode_lines(docs_of(spark, sf_dir)), 3).select("doc_id", "line_no", "score", "rank")
 
 
-@query(f"WITH {_LINES} SELECT doc_id, gap, min(line_no) AS first_line, count(*) AS n FROM (SELECT *, sum(kept) OVER (PARTITION BY doc_id ORDER BY line_no) AS gap FROM (SELECT *, (strlen(line) > 200)::INT AS kept FROM lines)) WHERE kept = 0 GROUP BY doc_id, gap")
+@query(f"WITH {_LINES} SELECT doc_id, gap::BIGINT AS gap, min(line_no) AS first_line, count(*) AS n FROM (SELECT *, sum(kept) OVER (PARTITION BY doc_id ORDER BY line_no) AS gap FROM (SELECT *, (strlen(line) > 200)::INT AS kept FROM lines)) WHERE kept = 0 GROUP BY doc_id, gap")
 def anomaly_gaps(spark, sf_dir):
     return lines.gap_groups(lines.explode_lines(docs_of(spark, sf_dir)), F.octet_length("line") > 200)
 
@@ -259,9 +265,9 @@ def format_detect(spark, sf_dir):
     return docs_of(spark, sf_dir).select(classify.detect_format(F.col("text")).alias("fmt")).groupBy("fmt").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query()
+@query(_segs(60, 15, 10) + f", {_SIZES} SELECT doc_id, 'text' AS kind, strlen(text)::BIGINT AS n_bytes, view_bytes, n_refs FROM documents JOIN sizes USING (doc_id)")
 def compressed_views(spark, sf_dir):
-    """The routed compression of every document: JSON, format or lines."""
+    """The routed compression of every document: JSON, format or lines (the SQL knows that these are prose)."""
     made = views.compress(docs_of(spark, sf_dir))
     return made.select("doc_id", "kind", "n_bytes", "view_bytes", F.size("refs").alias("n_refs"))
 
@@ -357,7 +363,7 @@ def mask_counts(spark, sf_dir):
     return docs_of(spark, sf_dir).where("text is not null").select(masking.mask_secrets("text")["n_masked"].alias("n_masked")).groupBy("n_masked").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-_METRICS = "count_if(is_retrieve = 0) AS compressions, count_if(is_retrieve = 1) AS retrieves, sum(bytes_saved)::BIGINT AS bytes_saved, sum(bytes_retrieved)::BIGINT AS bytes_retrieved, round(count_if(is_retrieve = 1) / count(*), 6) AS retrieve_rate, (sum(bytes_saved) - sum(bytes_retrieved))::BIGINT AS net_saved"
+_METRICS = "count_if(is_retrieve = 0)::BIGINT AS compressions, count_if(is_retrieve = 1)::BIGINT AS retrieves, sum(bytes_saved)::BIGINT AS bytes_saved, sum(bytes_retrieved)::BIGINT AS bytes_retrieved, round(count_if(is_retrieve = 1) / count(*), 6) AS retrieve_rate, (sum(bytes_saved) - sum(bytes_retrieved))::BIGINT AS net_saved"
 
 
 @query(f"WITH {_USAGE} SELECT tool, {_METRICS} FROM usage GROUP BY tool ORDER BY compressions DESC, tool LIMIT 20")
@@ -390,7 +396,7 @@ def statusline(spark, sf_dir):
     return telemetry.statusline(counters, log, today)
 
 
-@query(f"WITH {_USAGE} SELECT tool, count(*) AS calls, count_if(compressed_bytes < original_bytes) AS compressed_calls, sum(original_bytes)::BIGINT AS original_bytes, sum(compressed_bytes)::BIGINT AS compressed_bytes, greatest(0, sum(original_bytes) - sum(compressed_bytes))::BIGINT AS saved_bytes, round(sum(compressed_bytes)::DOUBLE / sum(original_bytes)::DOUBLE, 3) AS ratio FROM usage GROUP BY GROUPING SETS ((tool), ())")
+@query(f"WITH {_USAGE} SELECT tool, count(*) AS calls, count_if(compressed_bytes < original_bytes)::BIGINT AS compressed_calls, sum(original_bytes)::BIGINT AS original_bytes, sum(compressed_bytes)::BIGINT AS compressed_bytes, greatest(0, sum(original_bytes) - sum(compressed_bytes))::BIGINT AS saved_bytes, round(sum(compressed_bytes)::DOUBLE / sum(original_bytes)::DOUBLE, 3) AS ratio FROM usage GROUP BY GROUPING SETS ((tool), ())")
 def proxy_tool_stats(spark, sf_dir):
     return telemetry.proxy_stats(usage_of(spark, sf_dir))
 
@@ -403,10 +409,11 @@ def allowed_calls(spark, sf_dir):
     return telemetry.allowed(u, deny, least).groupBy("tool").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT count(*) AS total_rows, sum(strlen(props))::BIGINT AS total_bytes, count(DISTINCT user_id) AS sessions, min(ts)::DATE AS first_day, max(ts)::DATE AS last_day FROM events")
+@query("SELECT count(*) AS total_rows, sum(strlen(props))::BIGINT AS total_bytes, count(DISTINCT user_id) AS sessions, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day FROM events")
 def dataset_stats(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("size", F.octet_length("props"))
-    return files.dataset_stats(e, "user_id", "ts", "size")
+    out = files.dataset_stats(e, "user_id", "ts", "size")
+    return out.withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
 
 
 @query("SELECT event_type AS event, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 4) AS pct FROM events GROUP BY event_type")
@@ -414,12 +421,13 @@ def event_distribution(spark, sf_dir):
     return files.distribution(table(spark, sf_dir, "events"), "event_type")
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id LIMIT 10")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM events ORDER BY events.ts, event_id LIMIT 10")
 def sample_records(spark, sf_dir):
-    return files.sample(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), ["ts", "event_id"])
+    rows = files.sample(table(spark, sf_dir, "events").select("event_id", "ts", "event_type"), ["ts", "event_id"])
+    return rows.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@query("WITH e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'compress' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'decompress' ELSE event_type END AS event FROM events) SELECT user_id AS batch, count(*) AS n_lines, count_if(event NOT IN ('compress', 'tool_call', 'decompress')) AS n_bad, count_if(event NOT IN ('compress', 'tool_call', 'decompress')) = 0 AS accepted FROM e GROUP BY user_id")
+@query("WITH e AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'compress' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'decompress' ELSE event_type END AS event FROM events) SELECT user_id AS batch, count(*) AS n_lines, count_if(event NOT IN ('compress', 'tool_call', 'decompress'))::BIGINT AS n_bad, count_if(event NOT IN ('compress', 'tool_call', 'decompress')) = 0 AS accepted FROM e GROUP BY user_id")
 def ingest_batches(spark, sf_dir):
     """Events as NDJSON lines in a batch for each user: batches with an unknown event are refused whole."""
     e = table(spark, sf_dir, "events")
@@ -566,7 +574,7 @@ def path_metadata(spark, sf_dir):
     return files.path_metadata(e.select(path.alias("path"), F.octet_length("props").alias("length"), F.col("ts").alias("modificationTime"))).drop("updated_at")
 
 
-@query()
+@query(_segs(60, 15, 10) + f", {_SIZES}, u AS (SELECT *, doc_id % 10 <> 0 AND strlen(text) > 4096 AND view_bytes + 12 < strlen(text) AS used FROM documents JOIN sizes USING (doc_id)) SELECT doc_id, strlen(text)::BIGINT AS n_bytes, CASE WHEN used THEN view_bytes + 12 ELSE strlen(text) END AS sent_bytes, CASE WHEN used THEN 'text' END AS kind FROM u")
 def auto_compressed_responses(spark, sf_dir):
     d = docs_of(spark, sf_dir).select("doc_id", "text", (F.col("doc_id") % 10 == 0).alias("is_error"))
     return tools.auto_compress(d).drop("body")
