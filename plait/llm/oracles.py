@@ -41,7 +41,7 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(te
  twice AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY rid, k) AS n FROM win) WHERE n > 1),
  rep AS (SELECT rid, sum(least(8, coalesce(nxt - p, 8))) AS n FROM (SELECT rid, p, lead(p) OVER (PARTITION BY rid ORDER BY p) AS nxt FROM twice) GROUP BY rid),
  m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS failed FROM (SELECT rid, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}'))::BIGINT AS n_upper FROM t LEFT JOIN rep USING (rid))),
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, len(regexp_extract_all(text, '\\p{{Lu}}'))::BIGINT AS n_upper, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1]))::BIGINT AS n_stutter FROM t LEFT JOIN rep USING (rid))),
  b AS ({_BUCKETS}),
  {_quartiles("g", "lang, source")}, {_quartiles("l", "lang")}, {_quartiles("a", "")},
  q AS (SELECT b.*, CASE WHEN g.n >= {MIN_ROWS} THEN g.q25 WHEN l.n >= {MIN_ROWS} THEN l.q25 ELSE a.q25 END AS lo, CASE WHEN g.n >= {MIN_ROWS} THEN g.q75 WHEN l.n >= {MIN_ROWS} THEN l.q75 ELSE a.q75 END AS hi

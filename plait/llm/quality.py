@@ -40,11 +40,11 @@ BROADCAST_GROUPS = 20_000
 METRICS = {
     "symbol_ratio": ("n_symbols", "word_chars", 1000, 1000, 50, False),
     "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 1000, 400, False),
-    "repeat_ratio": ("n_repeat_words", "n_words", 1000, 1000, 250, False),
+    "stutter_ratio": ("n_stutter", "n_words", 1000, 1000, 150, False),
     "upper_ratio": ("n_upper", "word_chars", 1000, 1000, 300, False),
     "word_length": ("word_chars", "n_words", 10, 1000, 40, True),
 }
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -83,6 +83,13 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < WINDOW, F.lit(0)).otherwise(found)
 
 
+def _stutter(words: Column) -> Column:
+    """Words that equal the word before."""
+    n = F.size(words)
+    same = F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: a == b)
+    return F.when(n < 2, F.lit(0)).otherwise(F.size(F.filter(same, lambda x: x)))
+
+
 def measures(text: Column) -> Column:
     """A struct of the whole-text measures, all long."""
     whole = F.coalesce(text, F.lit(""))
@@ -93,12 +100,13 @@ def measures(text: Column) -> Column:
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             _repeat_words(w).cast("long").alias("n_repeat_words"),
+            _stutter(w).cast("long").alias("n_stutter"),
         ),
     )
     of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     return let(
         F.struct(of_words.alias("w"), of_lines.alias("l"), F.regexp_count(whole, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count(whole, F.lit("\\p{Lu}")).cast("long").alias("n_upper")),
-        lambda s: F.struct(s["w"]["n_words"].alias("n_words"), s["w"]["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words"), s["l"]["n_lines"].alias("n_lines"), s["n_upper"].alias("n_upper")),
+        lambda s: F.struct(s["w"]["n_words"].alias("n_words"), s["w"]["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words"), s["l"]["n_lines"].alias("n_lines"), s["n_upper"].alias("n_upper"), s["w"]["n_stutter"].alias("n_stutter")),
     )
 
 

@@ -15,7 +15,7 @@ def brute(t):
         if windows[tuple(w[k : k + 8])] > 1:
             hit[k : k + 8] = [True] * 8
     ls = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(ls) - len(set(ls)), "n_repeat_words": sum(hit), "n_lines": len(ls), "n_upper": sum(x.isupper() and len(x) == 1 for x in t)}
+    return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)), "n_dup_lines": len(ls) - len(set(ls)), "n_repeat_words": sum(hit), "n_lines": len(ls), "n_upper": sum(x.isupper() and len(x) == 1 for x in t), "n_stutter": sum(a == b for a, b in zip(w, w[1:], strict=False))}
 
 
 def texts():
