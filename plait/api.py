@@ -23,11 +23,11 @@ def verify(made: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def retrieve(docs: DataFrame, max_bytes: int | None = None, mask: bool = True, **selection) -> DataFrame:
-    """(doc_id, text, n_lines, total_lines, described): a slice of each text. Without a selector the text is exact.
+    """(doc_id, text, n_lines, total_lines, total_bytes, described): a slice of each text. Without a selector the text is exact.
 
     ``max_bytes`` makes a budgeted view of a slice that is larger; masking is for display and on by default.
     """
-    total = docs.select("doc_id", F.size(classify.text_lines(F.col("text"))).cast("long").alias("total_lines"))
+    total = docs.select("doc_id", F.size(classify.text_lines(F.col("text"))).cast("long").alias("total_lines"), F.octet_length("text").cast("long").alias("total_bytes"))
     if not any(selection.get(k) is not None for k in ("lines", "pattern", "first", "last")):
         out = docs.select("doc_id", "text").join(total, "doc_id").withColumn("n_lines", F.col("total_lines"))
     else:

@@ -232,6 +232,26 @@ def _one_round(value, blobs: dict[str, str]):
     return [_one_round(v, blobs) for v in value] if isinstance(value, list) else value
 
 
+#: Version of the view format.
+VERSION = 1
+
+
+def encode(made: DataFrame) -> DataFrame:
+    """(doc_id, view): each view as one string that starts with its version and kind."""
+    return made.select("doc_id", F.concat(F.lit(f"VIEW:{VERSION}:"), F.col("kind"), F.lit("\n"), F.col("body")).alias("view"))
+
+
+def decode(encoded: DataFrame) -> DataFrame:
+    """(doc_id, kind, body, refs) of encoded views; a string of another version or without a header has a null kind and body."""
+    head = rf"(?s)\AVIEW:{VERSION}:([a-z-]+)\n(.*)\z"
+    known = F.col("view").rlike(head)
+    rows = encoded.select("doc_id", F.when(known, F.regexp_extract("view", head, 1)).alias("kind"), F.when(known, F.regexp_extract("view", head, 2)).alias("body"))
+    marker = f"(?m)^{views.MARK}[EW]:[0-9]*:([0-9a-f]{{64}}){views.MARK}$"
+    stored = '\\{"~x":"([0-9a-f]{64})"\\}'
+    refs = F.when(F.col("kind") == "json", F.regexp_extract_all("body", F.lit(stored), F.lit(1))).otherwise(F.regexp_extract_all("body", F.lit(marker), F.lit(1)))
+    return rows.withColumn("refs", F.coalesce(refs, F.array().cast("array<string>")))
+
+
 def header(kind: str) -> int:
     return costs.HEADER["json" if kind == "json" else "session" if kind == "session" else "text"]
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import classify, costs, masking
 from ..operators import blobs, ledger, lines, sessions, telemetry, tools, views
@@ -592,3 +593,19 @@ def trimmed_tools(spark, sf_dir):
     schema = '{"type":"object","title":"x","properties":{"n":{"type":"number","description":"how many"}},"required":["n"]}'
     told = F.concat(F.lit("Reads "), F.col("n_name"), F.lit("\nand says more. And more."))
     return tools.trim_tools(n.select(F.col("n_name").alias("name"), told.alias("description"), F.lit(schema).alias("schema")))
+
+
+@query("SELECT 'k' AS name, value, dense_rank() OVER (ORDER BY first_row) - 1 AS code FROM (SELECT json_extract_string(props, '$.k') AS value, min(event_id) AS first_row FROM events GROUP BY 1)")
+def dictionary_codes(spark, sf_dir):
+    """Codes of a column dictionary in the order in which values are first seen; only distinct values are ranked."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
+    first = rows.groupBy("name", "value").agg(F.min("event_id").alias("first_row"))
+    code = F.dense_rank().over(W.partitionBy("name").orderBy("first_row")) - 1
+    return first.select("name", "value", code.cast("long").alias("code"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def encoded_views_roundtrip(spark, sf_dir):
+    """Views as strings with a header, read back and restored."""
+    made = views.compress_text(docs_of(spark, sf_dir), threshold=20, head=5, tail=5)
+    return views.decompress(views.decode(views.encode(made)), views.stored(made))

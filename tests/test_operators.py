@@ -37,6 +37,15 @@ def test_views_come_back_and_verify(spark, docs):
     assert lost[4] is None and lost[1] == "one"
 
 
+def test_encoded_views(spark, docs):
+    made = api.compress(docs).where("body is not null").cache()
+    again = views.decode(views.encode(made)).cache()
+    key = lambda df: {r.doc_id: (r.kind, r.body, sorted(r.refs)) for r in df.collect()}
+    assert key(again) == key(made)
+    other = views.decode(spark.createDataFrame([(1, "VIEW:2:text\nx"), (2, "no header")], "doc_id long, view string"))
+    assert {(r.kind, r.body) for r in other.collect()} == {(None, None)}
+
+
 def test_native_segments_match_views(spark, docs):
     from plait.functions import views as plain
 
