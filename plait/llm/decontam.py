@@ -2,7 +2,7 @@
 
 A benchmark item gives one window for each run of ``window`` consecutive words (a
 shorter item one window of all its words). A window occurs in a document
-where the document's words are the same in order. The words of a window are
+where the document's words are the same in order. The shingles that are joined are single words: those of a window are
 ordered by rarity, counted over the whole corpus. An occurrence agrees on every
 word, so it agrees on the *prefix*: the n - ceil(n * t) + 1 rarest words, which for
 full containment (t = 1) is the rarest word alone. Documents and windows meet only on
