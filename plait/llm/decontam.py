@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WINDOW = 8
 #: The items of a block hold at most so much text (one larger item is a block of its own).
 BLOCK_BYTES = 32 << 20
@@ -121,7 +123,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, conta
     """
     if not 0 < contain <= 1:
         raise ValueError("contain must lie in (0, 1]")
-    out = docs.withColumns({"text": F.col("text").cast("binary"), "__plait_words": F.lit(0).cast("long"), "__plait_items": F.array().cast("array<string>"), "__plait_runs": F.array().cast(ADDED)})
+    out = small_batches(docs).withColumns({"text": F.col("text").cast("binary"), "__plait_words": F.lit(0).cast("long"), "__plait_items": F.array().cast("array<string>"), "__plait_runs": F.array().cast(ADDED)})
     sc = docs.sparkSession.sparkContext
     for block in item_blocks(bench.select("item_id", "text"), block_bytes):
         rows = block.select("item_id", F.col("text").cast("binary").alias("text")).collect()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BUCKETS = 1 << 16
 UNIT = 32
 STEPS = 25
@@ -63,7 +65,7 @@ def trigram_counts(labelled: DataFrame) -> DataFrame:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
 
-    return labelled.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return small_batches(labelled).select("lang", "text").mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -177,7 +179,7 @@ def detect(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame
                 flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "langs", "shares"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, langs array<string>, shares array<double>")
 
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 MIN_COVERAGE = 0.8
 #: Templates larger than this in all are refused, as they are sent to every task.
@@ -162,5 +164,5 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min
                 names=["doc_id", "license", "coverage", "n_licenses", "found"],
             )
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return src.mapInArrow(run, "doc_id long, license string, coverage double, n_licenses long, found array<struct<license:string,coverage:double,first_word:long,end_word:long>>")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 from .tokens import load_pieces
 
 #: Word scores (words times classes) that are sent to every task at most.
@@ -169,7 +169,7 @@ def word_counts(docs: DataFrame, n_classes: int) -> DataFrame:
                         yield from hand_on()
         yield from hand_on()
 
-    src = docs.select("class", F.col("text").cast("binary").alias("text"))
+    src = small_batches(docs).select("class", F.col("text").cast("binary").alias("text"))
     rows = src.mapInArrow(run, "word binary, " + ", ".join(f"{x} long" for x in names[1:]))
     return rows.groupBy("word").agg(*[F.sum(x).alias(x) for x in names[1:]])
 

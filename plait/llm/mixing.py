@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 N_TOPICS = 8
 OTHER = "other"
 #: Production targets: every source alike, half English, every topic alike; shares of what no target names.
@@ -106,7 +108,7 @@ def with_probabilities(docs: DataFrame, sources: Mapping[str, float] = SOURCE_TA
         raise ValueError("budget must lie in (0, 1]")
 
     def featured(df: DataFrame) -> DataFrame:
-        df = df.withColumn("__plait_f", features("text"))
+        df = small_batches(df).withColumn("__plait_f", features("text"))
         return df.withColumns({"__plait_s": category(F.col("source"), sources), "__plait_l": category(F.col("lang"), langs), "__plait_t": category(F.col("__plait_f.topic"), topics)})
 
     names = [list(dict.fromkeys([*t, OTHER])) for t in (sources, langs, topics)]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialise
+from .common import materialise, small_batches
 
 SEED = 42
 #: Five blocks of the 64 bits: (first bit, width).
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return src.mapInArrow(run, "doc_id long, fp long")
 
 

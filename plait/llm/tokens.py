@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: The symbol that starts a word; bytes are 0 to 255.
 START = 256
 MARK = "▁"
@@ -126,5 +128,5 @@ def token_counts(docs: DataFrame, vocabulary: str, memory: int = MEMORY) -> Data
                 n_tokens.append(total)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_bytes", "n_words", "n_tokens"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return src.mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
