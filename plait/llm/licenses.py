@@ -7,7 +7,9 @@ bit-parallel rows). Coverage is the share of the template's words that are align
 
 A template needs that share of its words in the text at all, so templates whose words the text lacks are not
 aligned: an upper bound that loses nothing. Before aligning, the text is cut to the regions that hold the template's words with gaps no
-longer than the template, so a license that is given twice still has unique words.
+longer than the template. A region is aligned whole. Patience alignment that reaches the upper bound is optimal;
+below it (a region of ordinary prose repeats common words, which are then no anchors) the longest common subsequence of the whole region counts. The span is the
+shortest end of the region's words that holds so many matches, from its last possible first word.
 
 Defined cases. Null and blank texts have no license. Repeated rows each return their row. Very long texts
 are aligned whole. Templates are a bounded parameter that is sent to all tasks. Extra columns are ignored.
@@ -83,6 +85,26 @@ def common_length(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+def span(a: list[str], b: list[str], n: int) -> tuple[int, int]:
+    """A run [lo, hi) of ``a`` that has ``n`` words of ``b`` in order: the first such end, and the last start for it."""
+
+    def reach(xs: list[str], ys: list[str]) -> int:
+        where: dict[str, int] = {}
+        for k, w in enumerate(ys):
+            where[w] = where.get(w, 0) | 1 << k
+        full = row = (1 << len(ys)) - 1
+        for at, w in enumerate(xs, 1):
+            hit = row & where.get(w, 0)
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
+                if len(ys) - row.bit_count() >= n:
+                    return at
+        return len(xs)
+
+    hi = reach(a, b)
+    return hi - reach(a[:hi][::-1], b[::-1]), hi
+
+
 def align(a: list[str], b: list[str]) -> int:
     """Words of the template ``b`` that patience alignment matches in ``a``."""
     total, todo = 0, [(0, len(a), 0, len(b))]
@@ -138,9 +160,15 @@ class Scanner:
             best = (0, 0, 0)
             for lo, hi in regions(ws, vocabulary, len(t)):
                 part = ws[lo:hi]
-                if hi - lo < need or sum(min(n, counts[w]) for w, n in Counter(part).items() if w in counts) < max(need, best[0]):
+                most = sum(min(n, counts[w]) for w, n in Counter(part).items() if w in counts)
+                if hi - lo < need or most < max(need, best[0] + 1):
                     continue
-                best = max(best, *((align(part[k : k + 2 * len(t)], t), -(lo + k), min(hi, lo + k + 2 * len(t))) for k in range(0, max(1, len(part) - len(t)), len(t))))
+                n = align(part, t)
+                if n < most:
+                    n = common_length(part, t)
+                if n >= need and n > best[0]:
+                    first, end = span(part, t, n)
+                    best = (n, -(lo + first), lo + end)
             if best[0] >= need:
                 out.append((name, best[0] / len(t), -best[1], best[2]))
         return out

@@ -89,5 +89,22 @@ def test_the_upper_bound_loses_nothing():
         assert bool(found) == (licenses.align(ws, template) >= 8)
 
 
+def test_an_edited_license_is_found_at_every_offset_of_a_long_text():
+    scanner = licenses.Scanner({"MIT-text": licenses.TEMPLATES["MIT-text"]}, 0.8)
+    t = scanner.templates[0][1]
+    edited = [*t[:40], *(["whereas", "the", "clause"] * 9), *t[40:70], *(["the", "more"] * 20), *t[70:]]
+    assert len(edited) > 1.5 * len(t)
+    prose = ["the", "old", "mill", "of", "stones", "and", "wheels"] * 120
+    for at in range(0, 400):
+        text = prose[:at] + edited + prose[at:]
+        ((_, coverage, first, end),) = scanner.scan(" ".join(text))
+        assert coverage == licenses.common_length(text, t) / len(t) == 1.0
+        assert at <= first < end <= at + len(edited)
+    for at in (0, 57, 211, 399):
+        text = prose[:at] + [w for k, w in enumerate(edited) if k % 9] + prose[at:]
+        ((_, coverage, *_),) = scanner.scan(" ".join(text))
+        assert coverage == lcs(text, t) / len(t)
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
