@@ -71,16 +71,18 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp), if ``keyed`` with text_hash between: fp is the fingerprint's 64 bits as a signed long."""
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), *([F.xxhash64("text").alias("text_hash")] if keyed else [])]
+    names = ["doc_id", *(["text_hash"] if keyed else []), "fp"]
 
     def run(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(1)), dtype=np.uint64, count=b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.fromiter((fingerprint(t.as_py(), width) for t in b.column(len(names) - 1)), dtype=np.uint64, count=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=names)
 
-    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    src = small_batches(docs).select(*keys, F.col("text").cast("binary").alias("text"))
+    return src.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def pivots() -> np.ndarray:
@@ -268,14 +270,19 @@ def components(edges: DataFrame) -> DataFrame | None:
     return out
 
 
+def _grouped(fps: DataFrame, radius: int, cell_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(fp, low) and, where there are links, (fp, root) of the linked fingerprints."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(links(distinct.select("fp"), radius, cell_rows))
+    return distinct, None if roots is None else roots.withColumnRenamed("node", "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(doc_id, fp, component_id), one row for each row of ``docs``."""
     fps = materialise(fingerprints(docs, width), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(distinct.select("fp"), radius, cell_rows))
+    distinct, roots = _grouped(fps, radius, cell_rows)
     if roots is None:
         return fps.join(distinct.withColumnRenamed("low", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    roots = roots.withColumnRenamed("node", "fp")
     joined = distinct.join(roots, "fp")
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     grouped = joined.join(lows, "root").select("fp", "component_id")
@@ -284,24 +291,26 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cell_rows:
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """Stage: of each component the row of its smallest doc_id stays.
+def keep_rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
+    """One row of each label of ``keyed`` (doc_id, text_hash, label): of its smallest doc_id (null last), then its smallest text hash.
 
-    All columns stay as they are. Rows that share the doc_id that stays are
-    repeats: one of them stays. Rows without a doc_id cannot be told apart
-    by id: each such row stays only if its component has no doc_id at all, once for each text.
+    Rows are told apart by doc_id and text, so an id that is given twice keeps each of its texts that is a component's choice.
     """
-    near = near_duplicates(docs, **options)
-    if docs.where(F.col("doc_id").isNull()).isEmpty():
-        repeated = docs.groupBy("doc_id").count().where("count > 1").isEmpty() is False
-        keep = near.where("doc_id = component_id").select("doc_id").distinct()
-        out = docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
-        return out.dropDuplicates(["doc_id"]) if repeated else out
-    mine = near.where("component_id is not null and doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(mine, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    lone = near.where("component_id is null").select("fp").distinct()
-    nameless = docs.where(F.col("doc_id").isNull())
-    texts = nameless.select(F.xxhash64("text").cast("long").alias("doc_id"), "text").distinct()
-    keyed = fingerprints(texts, options.get("width", 3)).join(lone, "fp", "left_semi").select(F.col("doc_id").alias("__plait_text"))
-    bare = nameless.withColumn("__plait_text", F.xxhash64("text")).join(keyed.distinct(), "__plait_text", "left_semi")
-    return named.unionByName(bare.dropDuplicates(["__plait_text"]).select(*docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
+    keep = keyed.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__plait_id"), F.col("k.text_hash").alias("__plait_text"))
+    keep = materialise(keep.distinct(), "keep")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__plait_id")) & (F.xxhash64("text") == F.col("__plait_text"))
+    out = docs.join(keep, same, "left_semi").select(*docs.columns)
+    named = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
+    repeated = not named.groupBy("d", "h").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Stage: of each component one row stays, with all columns (``keep_rows`` says which)."""
+    keyed = materialise(fingerprints(docs, width, keyed=True), "fingerprints")
+    distinct, roots = _grouped(keyed, radius, cell_rows)
+    if roots is None:
+        return keep_rows(docs, keyed.select("doc_id", "text_hash", F.col("fp").alias("label")))
+    label = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("label"))
+    return keep_rows(docs, keyed.join(label, "fp").select("doc_id", "text_hash", "label"))

@@ -145,6 +145,16 @@ def test_keep_one_without_ids(spark):
     assert got == [(False, "n o p q r s"), (True, "a b c d e f"), (True, "g h i j k l m")]
 
 
+def test_keep_one_tells_rows_apart_by_id_and_text(spark):
+    a, b, c = "a b c d e f", "n o p q r s", " ".join(f"w{k}" for k in range(200))
+    near = c + " w200"
+    assert 0 < (brute_fingerprint(c) ^ brute_fingerprint(near)).bit_count() <= 3
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (7, "g h i j k l", "x"), (7, "t u v w x y", "x"), (None, c, "x"), (None, near, "x")]
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert [x for x in got if x[0] != "None"] == [("3", b), ("5", a), ("7", "g h i j k l"), ("7", "t u v w x y")]
+    assert len(got) == 5 and got[-1][1] in (c, near)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert simhash.near_duplicates(df).count() == 0
