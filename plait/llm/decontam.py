@@ -179,7 +179,19 @@ def contaminated_report(docs: DataFrame, bench: DataFrame, min_items: int = 2, *
     )
 
 
-def clean(docs: DataFrame, bench: DataFrame, min_items: int = 2, **options) -> DataFrame:
-    """Stage: the rows of ``docs`` with windows of fewer than ``min_items`` items, with their columns."""
-    out = contamination(docs, bench, **options)
-    return out.where(F.size("__plait_items") < min_items).select(*docs.columns)
+def enough(n_words: Column, runs: Column, window: int) -> Column:
+    """Whether the hit words are evidence: a run of a whole window (long items, or short ones side by side), or half of the document."""
+    return F.exists(runs, lambda r: r["hi"] - r["lo"] >= window) | (n_hit(runs) * 2 >= n_words)
+
+
+def clean(docs: DataFrame, bench: DataFrame, min_items: int = 2, window: int = WINDOW, evidence: bool = False, **options) -> DataFrame:
+    """Stage: the rows of ``docs`` with windows of fewer than ``min_items`` items, with their columns.
+
+    With ``evidence``, rows whose hits are too few words also stay (``enough``): the one to seven words of a
+    short item stand in clean text, too.
+    """
+    out = contamination(docs, bench, window=window, **options)
+    hit = F.size("__plait_items") >= min_items
+    if evidence:
+        hit = hit & enough(F.col("__plait_words"), F.col("__plait_runs"), window)
+    return out.where(~hit).select(*docs.columns)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import pytest
 from plait.llm import decontam
 
@@ -65,6 +66,16 @@ def test_clean_keeps_columns_and_clean_rows(spark):
     assert sorted((str(r.doc_id), str(r.text), r["items"]) for r in out.collect()) == want
 
 
+def test_the_stage_asks_more_of_short_items(spark, tmp_path):
+    long, prose = "one two three four five six seven eight nine", "a day like others went by and rain fell on the mill "
+    items = [(1, "the mill"), (2, "why not"), (3, long), (4, "six words that ask for more"), (5, "and this one answers them")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, prose * 3), (2, "The mill why not"), (3, prose + long), (4, prose + items[3][1] + " " + items[4][1]), (5, items[3][1] + " " + prose * 2), (6, prose + "nothing"), (7, prose + long[:-5])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = dict(corpus_pipeline.STAGES)["decontamination"](spark, d, str(tmp_path))
+    assert sorted(r.doc_id for r in out.collect()) == [1, 5, 6]
+
+
 def test_partial_containment():
     item = [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"]
     index = decontam.Index([("1", item)], {}, 8, 0.75)
