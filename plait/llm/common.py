@@ -2,11 +2,13 @@
 
 Everything that must survive the loss of an executor is written as Parquet
 below ``spark.checkpoint.dir`` (read from the session), never to a
-machine-local folder and never with ``localCheckpoint``.
+machine-local folder and never with ``localCheckpoint``. Tables that a later one
+replaces are deleted by the operators, and the rest when the application ends.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,21 +26,54 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where none is configured."""
+    """The folder that driver and executors share; a private one only where all run in one process."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.plait.local.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="plait-checkpoint-")
         spark.conf.set("spark.plait.local.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete_all(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        _delete(spark, path)
+
+
+_FOLDERS: set[str] = set()
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plait/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/plait/{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_delete_all, spark, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._plait_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._plait_path)
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns beside ``__plait_row``, a struct of all columns: ``select("__plait_row.*")`` gives them back, whatever their names."""
+    return docs.select(F.struct("*").alias("__plait_row"), *names)
 
 
 #: Bytes of one Arrow batch between Spark and Python.

@@ -7,7 +7,7 @@ ring walks that SQL lacks.
 from __future__ import annotations
 
 from .common import ASCII_LOWER, ASCII_UPPER
-from .quality import MAX_REPEAT_PERCENT, METRICS, MIN_ROWS, MIN_WORDS
+from .quality import MAX_REPEAT_PERCENT, METRICS, MIN_ROWS, MIN_WORDS, PER_E
 
 ORACLE: dict[str, str] = {}
 
@@ -23,8 +23,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN marks USING (rid) LEFT JOIN found USING (rid)"""
 
 _BUCKETS = " UNION ALL ".join(
-    f"SELECT rid, lang, source, failed, '{k}' AS metric, least({top}, ({num} * {scale}) // greatest({den}, 1)) AS bucket, {gap} AS gap, {str(below).lower()} AS below FROM m"
-    for k, (num, den, scale, top, gap, below) in METRICS.items()
+    f"SELECT rid, lang, source, failed, '{k}' AS metric, floor(ln(({num} + 1) / ({den} + 1)) * {PER_E})::BIGINT AS bucket, {reach} AS reach, {str(below).lower()} AS below FROM m"
+    for k, (num, den, reach, below) in METRICS.items()
 )
 
 
@@ -46,7 +46,7 @@ WITH t AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(te
  {_quartiles("g", "lang, source")}, {_quartiles("l", "lang")}, {_quartiles("a", "")},
  q AS (SELECT b.*, CASE WHEN g.n >= {MIN_ROWS} THEN g.q25 WHEN l.n >= {MIN_ROWS} THEN l.q25 ELSE a.q25 END AS lo, CASE WHEN g.n >= {MIN_ROWS} THEN g.q75 WHEN l.n >= {MIN_ROWS} THEN l.q75 ELSE a.q75 END AS hi
   FROM b LEFT JOIN g ON b.lang IS NOT DISTINCT FROM g.lang AND b.source IS NOT DISTINCT FROM g.source AND b.metric = g.metric LEFT JOIN l ON b.lang IS NOT DISTINCT FROM l.lang AND b.metric = l.metric LEFT JOIN a ON b.metric = a.metric),
- v AS (SELECT rid, bool_and(coalesce(bucket <= hi + greatest(gap, 3 * (hi - lo)) AND (NOT below OR bucket >= lo - greatest(gap, 3 * (hi - lo))), true)) AS good FROM q GROUP BY rid)
+ v AS (SELECT rid, bool_and(coalesce(bucket <= hi + reach * (hi - lo) AND (NOT below OR bucket >= lo - reach * (hi - lo)), true)) AS good FROM q GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND good AS kept FROM m JOIN v USING (rid)"""
 
 _ESCAPED = "length(regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))"

@@ -1,23 +1,25 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Native: Spark expressions only. Each document gets whole-text metrics. Each
-ratio falls in a bucket of a fixed grid, and the counts of the buckets of a
-(lang, source) group are its quantile sketch: sketches of parts of a group
+Native: Spark expressions only. Each document gets whole-text metrics. Each metric is a
+smoothed ratio (x + 1) / (y + 1), and its bucket is floor(32 * ln(ratio)): buckets are 3 % wide wherever the
+ratio lies. The counts of a (lang, source) group's buckets are its quantile sketch: sketches of parts of a group
 merge by adding counts (which the map-side combine does, so a hot source
-costs no more than another), quantiles are exact to one bucket, and results
+costs no more than another), quantiles have a relative error of one bucket, and results
 do not depend on the order of merging. A document is rejected when a metric
-lies above its group's fence, q75 + max(gap, 3 * (q75 - q25)); for word length
-also below q25 - max(gap, 3 * (q75 - q25)). Groups of fewer than ``min_rows``
-documents use the merged sketch of their language, and languages of fewer the
+lies above its group's fence, q75 + reach * (q75 - q25), in logarithms; for word length
+also below q25 - reach * (q75 - q25). So a fence is made of the group's quartiles alone: no value of a metric is
+fixed, and a group whose documents vary more has wider fences. By the smoothing, a count of zero
+weighs more in a short text, so quartiles differ even where most documents have no symbol or repeated line.
+Groups of fewer than ``min_rows`` documents use the merged sketch of their language, and languages of fewer the
 sketch of all.
 
 The base rules reject texts under 20 words and texts of which over 30 % of the words lie
 in 8-word windows found twice or more. Windows are compared by 64-bit hashes.
 
-Defined cases. Null and blank texts have no words: all metrics are zero and the base
+Defined cases. Null and blank texts have no words: all measures are zero and the base
 rules reject them. Null lang or source form groups of their own. Repeated rows count and
-are judged one by one. An empty table gives an empty table. Extra columns are kept by
-``quality_filter``; its working columns start with ``__plait_``.
+are judged one by one. An empty table gives an empty table. Extra columns of any name are kept by
+``quality_filter``.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, words_of
+from .common import discard, materialise, packed, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -36,13 +38,15 @@ WINDOW = 8
 MIN_ROWS = 200
 #: Thresholds are broadcast up to so many groups, which is counted first; beyond, they join by shuffle.
 BROADCAST_GROUPS = 20_000
-#: metric: (numerator, denominator, buckets per unit, highest bucket, gap in buckets, also bounded below)
+#: Buckets of a sketch for each factor of e.
+PER_E = 32
+#: metric: (x, y, reach in interquartile ranges, also bounded below)
 METRICS = {
-    "symbol_ratio": ("n_symbols", "word_chars", 1000, 1000, 50, False),
-    "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 1000, 400, False),
-    "stutter_ratio": ("n_stutter", "n_words", 1000, 1000, 150, False),
-    "upper_ratio": ("n_upper", "word_chars", 1000, 1000, 300, False),
-    "word_length": ("word_chars", "n_words", 10, 1000, 40, True),
+    "symbol_ratio": ("n_symbols", "word_chars", 2, False),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 2, False),
+    "stutter_ratio": ("n_stutter", "n_words", 3, False),
+    "upper_ratio": ("n_upper", "word_chars", 4, False),
+    "word_length": ("word_chars", "n_words", 4, True),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter")
 
@@ -78,7 +82,8 @@ def _covered(hashes: Column) -> Column:
 
 def _repeat_words(words: Column) -> Column:
     n = F.size(words)
-    hashes = F.transform(F.sequence(F.lit(1), n - WINDOW + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(WINDOW))))
+    each = lambda w: F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    hashes = let(F.transform(words, lambda w: F.xxhash64(w)), each)
     found = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
     return F.when(n < WINDOW, F.lit(0)).otherwise(found)
 
@@ -115,15 +120,15 @@ def base_failed(m: Column) -> Column:
 
 
 def bucket(m: Column, metric: str) -> Column:
-    """The grid bucket of a ratio: floor(scale * numerator / denominator), no higher than the top; 0 over 0 is 0."""
-    num, den, scale, top, _, _ = METRICS[metric]
-    return F.least(F.lit(top).cast("long"), F.floor(m[num] * scale / F.greatest(m[den], F.lit(1).cast("long"))))
+    """The sketch's bucket of a smoothed ratio."""
+    num, den, *_ = METRICS[metric]
+    return F.floor(F.log((m[num] + 1) / (m[den] + 1)) * PER_E)
 
 
-def sketches(measured: DataFrame, m: str, lang: str = "lang", source: str = "source") -> DataFrame:
+def sketches(measured: DataFrame, m: str) -> DataFrame:
     """(lang, source, metric, bucket, n): the sketch of every group over the documents that pass the base rules."""
     each = F.array(*[F.struct(F.lit(k).alias("metric"), bucket(F.col(m), k).alias("bucket")) for k in METRICS])
-    rows = measured.where(~base_failed(F.col(m))).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(each).alias("e"))
+    rows = measured.where(~base_failed(F.col(m))).select("lang", "source", F.explode(each).alias("e"))
     return rows.groupBy("lang", "source", "e.metric", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -143,38 +148,39 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     joined = g.join(of_lang, g.g_lang.eqNullSafe(of_lang.l_lang) & (g.g_metric == of_lang.l_metric), "left").join(of_all, F.col("g_metric") == F.col("a_metric"), "left")
     pick = lambda q: F.when(F.col("g_n") >= min_rows, F.col("g_" + q)).when(F.col("l_n") >= min_rows, F.col("l_" + q)).otherwise(F.col("a_" + q))
     long = joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), F.col("g_metric").alias("metric"), pick("q25").alias("q25"), pick("q75").alias("q75"))
-    aggs = []
-    for k, (_, _, _, _, gap, _) in METRICS.items():
-        reach = F.greatest(F.lit(gap).cast("long"), (F.col("q75") - F.col("q25")) * 3)
-        aggs += [F.max(F.when(F.col("metric") == k, F.col("q75") + reach)).alias(f"{k}_high"), F.max(F.when(F.col("metric") == k, F.col("q25") - reach)).alias(f"{k}_low")]
+    spread, aggs = F.col("q75") - F.col("q25"), []
+    for k, (_, _, reach, _) in METRICS.items():
+        aggs += [F.max(F.when(F.col("metric") == k, F.col("q75") + spread * reach)).alias(f"{k}_high"), F.max(F.when(F.col("metric") == k, F.col("q25") - spread * reach)).alias(f"{k}_low")]
     return long.groupBy("lang", "source").agg(*aggs)
 
 
-def judge(measured: DataFrame, m: str = "__plait_m", min_rows: int = MIN_ROWS, lang: str = "lang", source: str = "source") -> DataFrame:
-    """``measured`` (a written table with measures in the column ``m``) with ``__plait_failed`` and ``__plait_kept``."""
-    bounds = materialise(thresholds(materialise(sketches(measured, m, lang, source), "sketches"), min_rows), "thresholds")
+def judge(measured: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """``measured`` (a written table of ``__plait_m``, lang, source and any others) with ``__plait_failed`` and ``__plait_kept``."""
+    sketch = materialise(sketches(measured, "__plait_m"), "sketches")
+    bounds = materialise(thresholds(sketch, min_rows), "thresholds")
+    discard(sketch)
     bounds = bounds.select(F.col("lang").alias("__plait_lang"), F.col("source").alias("__plait_source"), *[F.col(f"{k}_{e}").alias(f"__plait_{k}_{e}") for k in METRICS for e in ("high", "low")])
     if bounds.count() <= BROADCAST_GROUPS:
         bounds = F.broadcast(bounds)
-    out = measured.join(bounds, F.col(lang).eqNullSafe(F.col("__plait_lang")) & F.col(source).eqNullSafe(F.col("__plait_source")), "left")
-    good = F.lit(True)
+    out = measured.join(bounds, F.col("lang").eqNullSafe(F.col("__plait_lang")) & F.col("source").eqNullSafe(F.col("__plait_source")), "left")
+    m, good = F.col("__plait_m"), F.lit(True)
     for k, (*_, below) in METRICS.items():
-        b = bucket(F.col(m), k)
+        b = bucket(m, k)
         good = good & (b <= F.col(f"__plait_{k}_high"))
         if below:
             good = good & (b >= F.col(f"__plait_{k}_low"))
-    failed = base_failed(F.col(m))
+    failed = base_failed(m)
     return out.select(*measured.columns, failed.alias("__plait_failed"), (~failed & F.coalesce(good, F.lit(True))).alias("__plait_kept"))
 
 
 def quality_report(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """(doc_id, measures..., base_failed, kept) for every row of ``docs``."""
     measured = materialise(docs.select("doc_id", "lang", "source", measures(F.col("text")).alias("__plait_m")), "measures")
-    out = judge(measured, min_rows=min_rows)
+    out = judge(measured, min_rows)
     return out.select("doc_id", *[F.col("__plait_m")[c].alias(c) for c in MEASURES], F.col("__plait_failed").alias("base_failed"), F.col("__plait_kept").alias("kept"))
 
 
 def quality_filter(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """Stage: the rows of ``docs`` that are kept, with their columns."""
-    measured = materialise(docs.withColumn("__plait_m", measures(F.col("text"))), "measured")
-    return judge(measured, min_rows=min_rows).where("__plait_kept").select(*docs.columns)
+    measured = materialise(packed(docs, "lang", "source", measures(F.col("text")).alias("__plait_m")), "measured")
+    return judge(measured, min_rows).where("__plait_kept").select("__plait_row.*")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -46,8 +47,8 @@ def verdicts(rows, min_rows):
     failed = [m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"] for m in ms]
 
     def bucket(m, k):
-        num, den, scale, top, _, _ = quality.METRICS[k]
-        return min(top, m[num] * scale // max(1, m[den]))
+        num, den, *_ = quality.METRICS[k]
+        return math.floor(math.log((m[num] + 1) / (m[den] + 1)) * quality.PER_E)
 
     groups = defaultdict(list)
     for (_, lang, source, _), m, f in zip(rows, ms, failed, strict=True):
@@ -64,10 +65,9 @@ def verdicts(rows, min_rows):
         good = True
         if not f:
             key = next((key for key in ((lang, source), (lang,)) if len(groups[key]) >= min_rows), ())
-            for k, (*_, gap, below) in quality.METRICS.items():
+            for k, (*_, reach, below) in quality.METRICS.items():
                 lo, hi = quartile(groups[key], k, 25), quartile(groups[key], k, 75)
-                reach = max(gap, 3 * (hi - lo))
-                good &= bucket(m, k) <= hi + reach and (not below or bucket(m, k) >= lo - reach)
+                good &= bucket(m, k) <= hi + reach * (hi - lo) and (not below or bucket(m, k) >= lo - reach * (hi - lo))
         out.append((d, f, not f and good))
     return out
 
@@ -96,6 +96,30 @@ def test_verdicts_match_brute_force(spark):
     assert kept.count() == sum(c for _, _, c in verdicts(rows, 30))
 
 
+def test_the_groups_spread_sets_the_fence(spark):
+    """The same document is kept in a group of uneven symbol ratios and rejected in an even one."""
+    rng = random.Random(4)
+    vocabulary = [f"w{j}" for j in range(400)]
+    rows = []
+    for k in range(400):
+        words = rng.sample(vocabulary, 60)
+        marks = 6 if k % 2 else rng.choice([0, 1, 3, 12, 40, 60])
+        words = [w + "$" * (j < marks) for j, w in enumerate(words)]
+        rows.append((k, "en", "even" if k % 2 else "uneven", " ".join(words)))
+    probe = " ".join(w + "$" * (j < 45) for j, w in enumerate(rng.sample(vocabulary, 60)))
+    rows += [(900, "en", "even", probe), (901, "en", "uneven", probe)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    kept = {r.doc_id for r in quality.quality_report(df, min_rows=30).collect() if r.kept}
+    assert 900 not in kept and 901 in kept
+
+
+def test_columns_of_any_name_come_back(spark):
+    rows = [(k, "en", "s", " ".join(f"w{j}" for j in range(30)), 1, None, "z") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string, `a.b` int, `n words` int, bucket string")
+    out = quality.quality_filter(df)
+    assert out.schema.names == df.schema.names and out.count() == 5
+
+
 def test_sketches_merge(spark):
     df = spark.createDataFrame(corpus(), "doc_id long, lang string, source string, text string").withColumn("m", quality.measures(F.col("text")))
     whole = quality.sketches(df, "m")
