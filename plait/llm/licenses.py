@@ -5,11 +5,18 @@ increasing subsequence of anchors is kept, and the gaps between kept anchors are
 takes the common words at its two ends and then the longest common subsequence of the rest (by
 bit-parallel rows). Coverage is the share of the template's words that are aligned.
 
-A template needs that share of its words in the text at all, so templates whose words the text lacks are not
-aligned: an upper bound that loses nothing. Before aligning, the text is cut to the regions that hold the template's words with gaps no
-longer than the template. A region is aligned whole. Patience alignment that reaches the upper bound is optimal;
-below it (a region of ordinary prose repeats common words, which are then no anchors) the longest common subsequence of the whole region counts. The span is the
-shortest end of the region's words that holds so many matches, from its last possible first word.
+Every text is aligned whole, from its first word to its last: it is neither cut to windows nor at gaps, so insertions of any length, words
+put between the template's and parts that lie far apart do not change what is found. Words that the template lacks take no part in
+an alignment and are left out before it. A template needs its share of words in the text at all, so templates whose
+words the text lacks are not aligned: an upper bound that loses nothing. ``scan`` so finds a template just when ``align`` of the
+whole text covers it well enough (tests hold the two together).
+
+As alignment has no bound on gaps, a short notice may be covered by words that are scattered over a long text. Each find has its span
+(the shortest end of the text that holds so many matches, from its last possible first word) and its density, the share of aligned words
+in the span. The best find is the one of largest coverage times density; ``min_density`` drops finds that are more scattered.
+
+The templates that come with the module are short license texts and the notices by which longer licenses are
+applied. Whole texts of any license are read by ``templates_from`` a folder.
 
 Defined cases. Null and blank texts have no license. Repeated rows each return their row. Very long texts
 are aligned whole. Templates are a bounded parameter that is sent to all tasks. Extra columns are ignored.
@@ -23,7 +30,7 @@ from collections import Counter
 from collections.abc import Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small_batches
@@ -33,21 +40,40 @@ MIN_COVERAGE = 0.8
 #: Templates larger than this in all are refused, as they are sent to every task.
 MAX_TEMPLATE_BYTES = 16 << 20
 
-# Notices by which public licenses are usually named, and short license texts.
+# Notices by which public licenses are applied, and short license texts.
 TEMPLATES: dict[str, str] = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0BSD-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     "BSD-3-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "Unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "Zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
 }
 
 
+def templates_from(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Whole license texts as templates: the ``*.txt`` files of a folder that Spark reads, by file name. Their size is checked first."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    if (files.agg(F.sum("length")).first()[0] or 0) > MAX_TEMPLATE_BYTES:
+        raise ValueError("the templates are too large to send to every task")
+    return {r.path.rsplit("/", 1)[-1].removesuffix(".txt"): bytes(r.content).decode("utf-8", "replace") for r in files.collect()}
+
+
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -106,7 +132,9 @@ def span(a: list[str], b: list[str], n: int) -> tuple[int, int]:
 
 
 def align(a: list[str], b: list[str]) -> int:
-    """Words of the template ``b`` that patience alignment matches in ``a``."""
+    """Words of the template ``b`` that patience alignment matches in the whole text ``a``."""
+    mine = frozenset(b)
+    a = [w for w in a if w in mine]
     total, todo = 0, [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -129,68 +157,47 @@ def align(a: list[str], b: list[str]) -> int:
     return total
 
 
-def regions(ws: list[str], template: frozenset[str], reach: int) -> list[tuple[int, int]]:
-    """Runs of words in which the template's words are at most ``reach`` apart."""
-    out: list[tuple[int, int]] = []
-    for k, w in enumerate(ws):
-        if w in template:
-            if out and k - out[-1][1] < reach:
-                out[-1] = (out[-1][0], k + 1)
-            else:
-                out.append((k, k + 1))
-    return out
-
-
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], min_coverage: float):
+    def __init__(self, templates: Mapping[str, str], min_coverage: float, min_density: float = 0.0):
         self.templates = [(name, words(t)) for name, t in sorted(templates.items())]
         self.counts = [Counter(t) for _, t in self.templates]
-        self.sets = [frozenset(t) for _, t in self.templates]
-        self.least = min_coverage
+        self.least, self.dense = min_coverage, min_density
 
-    def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, last word + 1) of each template that is covered well enough, best region only."""
+    def scan(self, text: str | None) -> list[tuple[str, float, int, int, float]]:
+        """(license, coverage, first word, last word + 1, density) of each template that is covered well enough."""
         ws = words(text)
-        have = frozenset(ws)
+        have = Counter(ws)
         out = []
-        for (name, t), counts, vocabulary in zip(self.templates, self.counts, self.sets, strict=True):
+        for (name, t), counts in zip(self.templates, self.counts, strict=True):
             need = self.least * len(t)
-            if not t or sum(counts[w] for w in vocabulary & have) < need:
+            if not t or sum(min(n, have[w]) for w, n in counts.items()) < need:
                 continue
-            best = (0, 0, 0)
-            for lo, hi in regions(ws, vocabulary, len(t)):
-                part = ws[lo:hi]
-                most = sum(min(n, counts[w]) for w, n in Counter(part).items() if w in counts)
-                if hi - lo < need or most < max(need, best[0] + 1):
-                    continue
-                n = align(part, t)
-                if n < most:
-                    n = common_length(part, t)
-                if n >= need and n > best[0]:
-                    first, end = span(part, t, n)
-                    best = (n, -(lo + first), lo + end)
-            if best[0] >= need:
-                out.append((name, best[0] / len(t), -best[1], best[2]))
+            n = align(ws, t)
+            if n >= need:
+                first, end = span(ws, t, n)
+                if n >= self.dense * (end - first):
+                    out.append((name, n / len(t), first, end, n / (end - first)))
         return out
 
 
-def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """(doc_id, license, coverage, n_licenses, found): the best template (ties: the longer, then the name) and all found with spans of words."""
+def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, min_density: float = 0.0) -> DataFrame:
+    """(doc_id, license, coverage, n_licenses, found): the best template (of largest coverage times density; ties: the longer, then the name) and all found with spans of words."""
     if sum(len(t.encode()) for t in templates.values()) > MAX_TEMPLATE_BYTES:
         raise ValueError("the templates are too large to send to every task")
-    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates, min_coverage))
-    kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
+    scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates, min_coverage, min_density))
+    names = ("license", "coverage", "first_word", "end_word", "density")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.float64()), strict=True))))
 
     def run(batches):
         s = scanner.value
         lengths = {n: len(t) for n, t in s.templates}
         for b in batches:
             found = [s.scan(t.as_py()) for t in b.column(1)]
-            best = [min(f, key=lambda x: (-x[1], -lengths[x[0]], x[0]), default=(None, 0.0)) for f in found]
+            best = [min(f, key=lambda x: (-x[1] * x[4], -lengths[x[0]], x[0]), default=(None, 0.0)) for f in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64()), pa.array([len(f) for f in found], pa.int64()), pa.array([[dict(zip(("license", "coverage", "first_word", "end_word"), x, strict=True)) for x in f] for f in found], kind)],
+                [b.column(0), pa.array([x[0] for x in best], pa.string()), pa.array([x[1] for x in best], pa.float64()), pa.array([len(f) for f in found], pa.int64()), pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], kind)],
                 names=["doc_id", "license", "coverage", "n_licenses", "found"],
             )
 
     src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return src.mapInArrow(run, "doc_id long, license string, coverage double, n_licenses long, found array<struct<license:string,coverage:double,first_word:long,end_word:long>>")
+    return src.mapInArrow(run, "doc_id long, license string, coverage double, n_licenses long, found array<struct<license:string,coverage:double,first_word:long,end_word:long,density:double>>")
