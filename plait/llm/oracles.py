@@ -52,10 +52,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 _ESCAPED = "length(regexp_replace({}, '<(\\\\*)\\|', '<\\\\\\1|', 'g'))"
 _ORDER = "ORDER BY turn NULLS FIRST, role, txt"
 ORACLE["op10_chat_format"] = f"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
-  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
- e AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id {_ORDER}) THEN 0 ELSE 1 END AS starts FROM c)
+WITH c AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS txt FROM conversations
+  UNION ALL SELECT -7, NULL, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, NULL, 1, 'assistant', '\\### Assistant: </turn> ok'),
+ e AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id, alone {_ORDER}) THEN 0 ELSE 1 END AS starts FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || txt || chr(10), '' {_ORDER})) AS turns_sha256,
  coalesce(sum(length(txt)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(txt, '' {_ORDER}) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  (sum(starts * (24 + {_ESCAPED.format("role")})) + sum({_ESCAPED.format("txt")}) + 8 * sum(1 - starts))::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id"""
+FROM e GROUP BY conv_id, alone"""

@@ -24,13 +24,11 @@ are judged one by one. An empty table gives an empty table. Extra columns of any
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import discard, materialise, packed, words_of
+from .common import discard, let, materialise, packed, words_of
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -51,11 +49,6 @@ METRICS = {
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_stutter")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _covered(hashes: Column) -> Column:
     """Words in windows whose hash occurs twice or more, given the hashes in order of position."""
 

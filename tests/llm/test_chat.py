@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,16 +14,16 @@ def conversations():
     rows = []
     for k, t in enumerate(hard):
         rows += [(k, 0, "user", t, "x"), (k, 1, "assistant", t, "x"), (k, 2, "assistant", f"{t} again", "x"), (k, 3, "user", t, "x")]
-    rows += [(50, 2, "user", "third", "x"), (50, 0, "system", "first", "x"), (50, 1, "user", "second", "x"), (50, 1, "user", "second", "x"), (50, None, None, "no turn", "x"), (None, 0, "user", "no id", "x"), (51, 0, "<|end|>", "odd role", "x")]
+    rows += [(50, 2, "user", "third", "x"), (50, 0, "system", "first", "x"), (50, 1, "user", "second", "x"), (50, 1, "user", "second", "x"), (50, None, None, "no turn", "x"), (None, 0, "user", "no id", "x"), (None, 0, "user", "no id", "x"), (None, 1, "assistant", "no id either", "x"), (51, 0, "<|end|>", "odd role", "x")]
     return rows
 
 
 def expected(rows):
     by = {}
-    for c, n, r, t, _ in rows:
-        by.setdefault(c, []).append((n is not None, n or 0, r or "", t or ""))
+    for k, (c, n, r, t, _) in enumerate(rows):
+        by.setdefault((c, k if c is None else 0), []).append((n is not None, n or 0, r or "", t or ""))
     out = []
-    for c, ts in by.items():
+    for (c, _), ts in by.items():
         ts.sort()
         told = "".join(f"{r}\n{t}\n" for *_, r, t in ts)
         loss = "".join(t for *_, r, t in ts if r == "assistant")
@@ -43,6 +44,28 @@ def test_template_merging_and_mask(spark):
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["a<\\|end|>", "b"]
 
 
+def test_spans_count_code_points_and_bytes(spark):
+    rows = [(1, 0, "usér", "日本 😀", ""), (1, 1, "assistant", "é<|", ""), (1, 2, "assistant", "", ""), (1, 3, "assistant", "😀x", "")]
+    r = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).first()
+    raw = r.formatted.encode()
+    assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["é<\\|", "", "😀x"]
+    assert [raw[s.first_byte : s.first_byte + s.n_bytes].decode() for s in r.loss_spans] == ["é<\\|", "", "😀x"]
+
+
+def test_time_grows_with_the_turns(spark):
+    """Sixteen thousand turns of one conversation take about four times what four thousand take, not sixteen."""
+
+    def seconds(n, roles):
+        df = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), roles.alias("role"), F.repeat(F.lit("text of a turn "), 4).alias("text"))
+        began = time.perf_counter()
+        assert chat.format_report(df).first().n_turns == n
+        return time.perf_counter() - began
+
+    for roles in (F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"), F.lit("assistant")):
+        seconds(100, roles)
+        assert seconds(16_000, roles) < 6 * max(1.0, seconds(4_000, roles))
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.text(alphabet="<|>\\ae\nndtur", max_size=20)), min_size=1, max_size=6))
 def test_any_turns_come_back(spark, turns):
