@@ -2,163 +2,288 @@
 
 A benchmark item gives one window for each run of ``window`` consecutive words (a
 shorter item one window of all its words). A window occurs in a document
-where the document's words are the same in order. The shingles that are joined are single words: those of a window are
-ordered by rarity, counted over the whole corpus. An occurrence agrees on every
-word, so it agrees on the *prefix*: the n - ceil(n * t) + 1 rarest words, which for
-full containment (t = 1) is the rarest word alone. Documents and windows meet only on
-prefix words at a position where the whole window fits (the length and positional bounds), and
-each meeting is verified word by word over a slice of the window's size.
+where the document's words are the same in order.
 
-With t < 1, a window occurs where at least ceil(n * t) of its words agree in place.
+Method. A window is the set of its shingles of ``SHINGLE`` words with their places, ordered by rarity: how often each occurs in
+all documents, counted in one pass for the whole benchmark. An occurrence agrees on every shingle, so it agrees on the
+*prefix*, the rarest one. Documents are searched for prefix shingles only; what they find is shuffled and joined with the
+windows on the shingle, may start nowhere but where the window's place of the shingle says (positional bound) and only where the whole
+window fits (length bound), and is then verified word by word over a slice of the window's size.
 
-The benchmark is cut into blocks of at most ``block_bytes`` of text, measured
-first, and each block is sent to all tasks: a stated query set against all rows.
-Documents are never shuffled or exploded, so hot passages or very common words
-cost no skew: a meeting is one comparison in the task that holds the document.
+With contain < 1, a window of n words occurs where at least ceil(n * contain) of its words agree in place. Each
+word that differs spoils as many shingles as have it, so the prefix grows to one more than that, with shorter shingles where the
+window has too few.
+
+Scale. The benchmark is a table like any other: its windows are joined by shuffle and are never collected. Each task holds a bit
+filter of at most 2^``FILTER_BITS`` bits (8 MB), whatever the size of the benchmark: it decides which shingles are worth counting or
+shuffling, and a fuller filter only lets more through. Documents are folded and hashed a batch at a time in numpy, and only
+around prefix shingles are words cut out. The join is salted, as a passage that very many documents share meets on few
+shingles; texts are known by their SHA-256, so copies of a text are joined with one finding. Very long texts
+need about six bytes of memory for each byte.
 
 Defined cases. Null text has no words, no hits and no items. Items without a word
 have no window. Repeated documents each return their row; repeated items of
-one id count once. Items with a null id count as one item named ``null``. Extra columns are ignored.
+one id count once. Items with a null id count as one item named ``null``. Extra columns of any name are kept by ``clean``.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from xxhash import xxh64_intdigest
 
-from .common import small_batches
+from .common import discard, materialise, small_batches
 
 WINDOW = 8
-#: The items of a block hold at most so much text (one larger item is a block of its own).
-BLOCK_BYTES = 32 << 20
+SHINGLE = 3
+#: Logarithm of the bits of the filter that each task holds, at most.
+FILTER_BITS = 26
+#: Parts among which each shingle's occurrences are dealt.
+SALTS = 8
 #: Runs of ASCII letters and digits and of everything beyond ASCII, after lower-casing A-Z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: What a search adds to a document: its words, the names of its items, and [lo, hi) runs of hit words.
-ADDED = "array<struct<lo:bigint,hi:bigint>>"
+#: Bytes that are hashed together; longer words are hashed one by one.
+BLOCK = 1 << 20
+LONG_WORD = 1 << 12
+#: Occurrences that are handed on together.
+ROWS = 1 << 14
+
+_FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_WEIGHTS = tuple(np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(SHINGLE))
 
 
 def words(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
-def windows_of(item: list[bytes], size: int) -> list[tuple[bytes, ...]]:
-    if not item:
-        return []
-    return list(zip(*(item[k:] for k in range(size)), strict=False)) if len(item) >= size else [tuple(item)]
-
-
-class Index:
-    """Windows by prefix word: word -> [(offset in the window, window, item names)]."""
-
-    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], size: int, contain: float):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for name, ws in items:
-            for w in windows_of(ws, size):
-                owners[w].add(name)
-        self.at: dict[bytes, list[tuple[int, tuple[bytes, ...], int, tuple[str, ...]]]] = defaultdict(list)
-        for w, names in owners.items():
-            need = math.ceil(len(w) * contain)
-            order = sorted(range(len(w)), key=lambda k: (counts.get(w[k], 0), w[k], k))
-            for k in order[: len(w) - need + 1]:
-                self.at[w[k]].append((k, w, need, tuple(sorted(names))))
-        self.at = dict(self.at)
-        self.keys = frozenset(self.at)
-
-    def search(self, ws: list[bytes]) -> tuple[set[str], np.ndarray | None]:
-        """Items with a window in the document, and a mark on each word that lies in one."""
-        if self.keys.isdisjoint(ws):
-            return set(), None
-        found, marks, n, at = set(), None, len(ws), self.at
-        for p, word in enumerate(ws):
-            for k, w, need, names in at.get(word, ()):
-                lo = p - k
-                hi = lo + len(w)
-                if lo < 0 or hi > n:
-                    continue
-                part = ws[lo:hi]
-                if tuple(part) == w if need == len(w) else sum(map(bytes.__eq__, part, w)) >= need:
-                    if marks is None:
-                        marks = np.zeros(n, dtype=bool)
-                    marks[lo:hi] = True
-                    found.update(names)
-        return found, marks
-
-
-def item_blocks(bench: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in blocks of about that much text; its size is measured first."""
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    if n == 1:
-        return [bench]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [bench.where(part == k) for k in range(n)]
-
-
-def corpus_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each word of a benchmark block occurs in all documents."""
+def _powers(base: int) -> np.ndarray:
+    out = np.full(BLOCK + LONG_WORD + 1, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Hasher:
+    """Hashes of words by position: a polynomial over the bytes, read from running sums."""
+
+    def __init__(self):
+        self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+    def words(self, folded: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash) of every word; none goes over a cut (the sorted ends of texts)."""
+        raw = np.frombuffer(folded, dtype=np.uint8)
+        inside = raw != 32
+        edge = np.empty(len(raw) + 1, dtype=bool)
+        edge[0], edge[-1] = inside[:1].any(), inside[-1:].any()
+        edge[1:-1] = inside[1:] != inside[:-1]
+        # A cut inside a run of letters ends one word and starts the next.
+        at = cuts[(cuts > 0) & (cuts < len(raw))]
+        at = np.unique(at[inside[at - 1] & inside[at]]) if len(at) else at
+        marks = np.flatnonzero(edge)
+        if len(at):
+            marks = np.sort(np.concatenate([marks, at, at]))
+        start, end = marks[::2], marks[1::2]
+        h = np.empty(len(start), dtype=np.uint64)
+        for k in np.flatnonzero(end - start > LONG_WORD):
+            h[k] = xxh64_intdigest(folded[start[k] : end[k]])
+        short = np.flatnonzero(end - start <= LONG_WORD)
+        for part in np.split(short, np.flatnonzero(np.diff(start[short] // BLOCK)) + 1):
+            if len(part):
+                lo, hi = int(start[part[0]]), int(end[part[-1]])
+                total = np.zeros(hi - lo + 1, dtype=np.uint64)
+                np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * self.up[: hi - lo], out=total[1:])
+                h[part] = (total[end[part] - lo] - total[start[part] - lo]) * self.down[start[part] - lo]
+        return start, end, _mixed(h)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words, one for each that starts at a word."""
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    out = np.full(n, np.uint64(width))
+    for k in range(width):
+        out += h[k : k + n] * _WEIGHTS[k]
+    return _mixed(out)
+
+
+def prefix_of(n: int, contain: float) -> tuple[int, int]:
+    """(words of a shingle, shingles of the prefix) for a window of n words."""
+    differ = n - math.ceil(n * contain)
+    for width in range(min(SHINGLE, n), 0, -1):
+        if width * differ + 1 <= n - width + 1:
+            return width, width * differ + 1
+    raise ValueError("contain leaves no word to agree")
+
+
+def windows(bench: DataFrame, window: int, contain: float) -> tuple[DataFrame, DataFrame]:
+    """(win, name) and (win, words, width, prefix, shingles array<long>) of the benchmark's distinct windows."""
+    fields = pa.list_(pa.binary())
 
     def run(batches):
-        seen: Counter[bytes] = Counter()
+        hasher = Hasher()
         for b in batches:
-            for t in b.column(0):
-                seen.update(vocabulary.intersection(words(t.as_py())))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    rows = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, n long")
-    return {bytes(r.word): r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+            out: list[list] = [[] for _ in range(5)]
+            for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ws = words(t.as_py())
+                h = hasher.words(b" ".join(ws), np.empty(0, dtype=np.int64))[2]
+                n = min(window, len(ws))
+                width, prefix = prefix_of(n, contain) if n else (0, 0)
+                each = shingles(h, width).view(np.int64) if n else ()
+                for k in range(len(ws) - n + 1 if n else 0):
+                    for c, v in zip(out, (name, ws[k : k + n], width, prefix, each[k : k + n - width + 1]), strict=True):
+                        c.append(v)
+            kinds = (pa.string(), fields, pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["name", "words", "width", "prefix", "shingles"])
+
+    src = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text"))
+    rows = src.mapInArrow(run, "name string, words array<binary>, width int, prefix int, shingles array<long>")
+    rows = rows.withColumn("win", F.sha2(F.array_join(F.transform("words", lambda w: w.cast("string")), " "), 256))
+    rows = materialise(rows, "windows")
+    return rows.select("win", "name").distinct(), rows.drop("name").dropDuplicates(["win"])
+
+
+class Filter:
+    """A bit for the top bits of each hash; ``widths`` are the shingle widths in it."""
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: (width, hash long). The bits are combined by the executors; at most 2^(FILTER_BITS - 6) words come back."""
+        told = hashes.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
+        self.bits = min(FILTER_BITS, max(16, (8 * told.n).bit_length()))
+        self.widths = sorted(told.widths)
+        slot = F.shiftrightunsigned("hash", 64 - self.bits)
+        rows = hashes.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        rows = rows.groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toPandas()
+        self.table = np.zeros(1 << (self.bits - 6), dtype=np.uint64)
+        self.table[rows["at"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> np.uint64(64 - self.bits)
+        return (self.table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+class Batch:
+    """The words of a batch of texts, hashed together."""
+
+    def __init__(self, hasher: Hasher, texts: pa.Array):
+        _, offsets, data = texts.buffers()
+        cut = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        self.folded = (memoryview(data)[cut[0] : cut[-1]].tobytes() if data is not None else b"").translate(_FOLD)
+        ends = cut[1:] - cut[0]
+        self.start, self.end, self.hash = hasher.words(self.folded, ends)
+        self.of = np.searchsorted(ends, self.start, side="right")
+        self.n_words = np.bincount(self.of, minlength=len(texts))
+        self.first = np.r_[0, np.cumsum(self.n_words)]
+
+    def found(self, filters: Filter, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word number, hash) of the shingles that the filter lets through; none goes over the end of a text."""
+        h = shingles(self.hash, width)
+        at = np.flatnonzero(filters.holds(h))
+        at = at[self.of[at] == self.of[at + width - 1]]
+        return at, h[at]
+
+
+def corpus_counts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(hash, n): how often each of the hashes (width, hash) occurs in all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(hashes))
 
+    def run(batches):
+        hasher, filters = Hasher(), shared.value
+        for b in batches:
+            if b.num_rows and filters.widths:
+                batch = Batch(hasher, b.column(0))
+                h, n = np.unique(np.concatenate([batch.found(filters, w)[1] for w in filters.widths]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, contain: float = 1.0, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with __plait_words long, __plait_items array<string> and __plait_runs.
+    rows = small_batches(docs).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "hash long, n long")
+    counted = rows.groupBy("hash").agg(F.sum("n").alias("n"))
+    return materialise(hashes.select("hash").distinct().join(counted, "hash"), "rarity")
 
-    Items are the sorted names of the items that have a window in the document; runs are
-    the hit words as sorted, disjoint [lo, hi) ranges of word numbers. Each block of the benchmark
-    is one more pass in the same stage, which adds to what the blocks before it found.
-    """
-    if not 0 < contain <= 1:
-        raise ValueError("contain must lie in (0, 1]")
-    out = small_batches(docs).withColumns({"text": F.col("text").cast("binary"), "__plait_words": F.lit(0).cast("long"), "__plait_items": F.array().cast("array<string>"), "__plait_runs": F.array().cast(ADDED)})
-    sc = docs.sparkSession.sparkContext
-    for block in item_blocks(bench.select("item_id", "text"), block_bytes):
-        rows = block.select("item_id", F.col("text").cast("binary").alias("text")).collect()
-        items = [("null" if r.item_id is None else str(r.item_id), words(None if r.text is None else bytes(r.text))) for r in rows]
-        vocabulary = frozenset(w for _, ws in items for w in ws)
-        index = Index(items, corpus_counts(docs, vocabulary) if vocabulary else {}, window, contain)
-        out = out.mapInArrow(_searcher(sc.broadcast(index), out.columns.index("text")), out.schema)
-    return out.withColumn("text", F.col("text").cast("string"))
 
+def occurrences(docs: DataFrame, hashes: DataFrame, window: int) -> DataFrame:
+    """For each document one row (doc_id, digest, n_words), and one (digest, pos, hash, before, around) for each prefix shingle in it.
 
-def _searcher(index, text_at: int):
-    run_type = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    around are the words at which a window with the shingle may lie; before counts those ahead of the shingle.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(hashes))
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
+    names = ["doc_id", "digest", "n_words", "pos", "hash", "before", "around"]
 
     def run(batches):
-        ix = index.value
+        hasher, filters = Hasher(), shared.value
         for b in batches:
-            n_words, items, runs = [], [], []
-            for t, had_items, had_runs in zip(b.column(text_at), b.column("__plait_items"), b.column("__plait_runs"), strict=True):
-                ws = words(t.as_py())
-                found, marks = ix.search(ws)
-                n_words.append(len(ws))
-                if marks is None:
-                    items.append(had_items.as_py())
-                    runs.append(had_runs.as_py())
-                    continue
-                for r in had_runs.as_py():
-                    marks[r["lo"] : r["hi"]] = True
-                edge = np.flatnonzero(np.diff(np.r_[False, marks, False].astype(np.int8)))
-                items.append(sorted(found.union(had_items.as_py())))
-                runs.append([{"lo": int(x), "hi": int(y)} for x, y in edge.reshape(-1, 2)])
-            new = {"__plait_words": pa.array(n_words, pa.int64()), "__plait_items": pa.array(items, pa.list_(pa.string())), "__plait_runs": pa.array(runs, run_type)}
-            names = b.schema.names
-            yield pa.RecordBatch.from_arrays([new.get(n, b.column(k)) for k, n in enumerate(names)], names=names)
-
-    return run
+            if not b.num_rows:
+                continue
+            batch = Batch(hasher, b.column(2))
+            none = b.num_rows
+            rest = [pa.nulls(none, k) for k in kinds[3:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(batch.n_words.astype(np.int64)), *rest], names=names)
+            for width in filters.widths:
+                at, h = batch.found(filters, width)
+                for i in range(0, len(at), ROWS):
+                    p, key = at[i : i + ROWS], h[i : i + ROWS]
+                    of = batch.of[p]
+                    lo = np.maximum(batch.first[of], p - (window - width))
+                    hi = np.minimum(batch.first[of + 1], p + window)
+                    cut = lambda k: batch.folded[batch.start[k] : batch.end[k]]
+                    around = [[cut(k) for k in range(x, y)] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    cols = [pa.nulls(len(p), pa.int64()), b.column(1).take(pa.array(of)), pa.nulls(len(p), pa.int64()), p - batch.first[of], key.view(np.int64), (p - lo).astype(np.int32), around]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
+    return materialise(src.mapInArrow(run, "doc_id long, digest binary, n_words long, pos long, hash long, before int, around array<binary>"), "occurrences")
+
+
+def digest(text: Column) -> Column:
+    """What a text is known by; null for null."""
+    return F.unhex(F.sha2(text, 256))
+
+
+def search(docs: DataFrame, bench: DataFrame, window: int = WINDOW, contain: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, n_words) of every row of ``docs``, and (digest, items array<string>, runs) of the texts with a window.
+
+    Items are the sorted names of the items that have a window in the text; runs are the hit words as sorted, disjoint
+    [lo, hi) ranges of word numbers.
+    """
+    if not 0 < contain <= 1:
+        raise ValueError("contain must lie in (0, 1]")
+    names, wins = windows(bench, window, contain)
+    places = wins.select("win", "width", "prefix", F.posexplode("shingles").alias("k", "hash"))
+    rarity = corpus_counts(docs, places.select("width", "hash").distinct())
+    # A shingle that no document has is the rarest of all: with it, a window cannot occur whole.
+    counted = places.join(rarity, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    ordered = counted.groupBy("win", "width", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "hash", "k"))).alias("s"))
+    prefix = ordered.select("win", "width", F.explode(F.slice("s", F.lit(1), F.col("prefix"))).alias("s")).select("win", "width", "s.n", "s.hash", "s.k").where("n > 0")
+    prefix = materialise(prefix.join(wins.select("win", "words"), "win"), "prefix")
+    rows = occurrences(docs, prefix.select("width", "hash").distinct(), window)
+    there = rows.where("pos is not null").withColumn("salt", F.pmod(F.xxhash64("digest", "pos"), F.lit(SALTS)))
+    each = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = there.join(each, ["hash", "salt"]).withColumn("size", F.size("words")).withColumn("lo", F.col("before") - F.col("k"))
+    met = met.where((F.col("lo") >= 0) & (F.size("around") >= F.col("lo") + F.col("size")))
+    part = F.slice("around", F.col("lo") + 1, F.col("size"))
+    same = F.size(F.filter(F.zip_with(part, "words", lambda x, y: x == y), lambda x: x))
+    met = met.where(part == F.col("words") if contain == 1 else same >= F.ceil(F.col("size") * F.lit(float(contain))))
+    hits = materialise(met.select("digest", (F.col("pos") - F.col("k")).alias("lo"), F.col("size").cast("long").alias("size"), "win").distinct(), "hits")
+    items = hits.select("digest", "win").distinct().join(names, "win").groupBy("digest").agg(F.sort_array(F.collect_set("name")).alias("items"))
+    order = W.partitionBy("digest").orderBy("lo", "hi")
+    spans = hits.select("digest", "lo", (F.col("lo") + F.col("size")).alias("hi")).distinct()
+    spans = spans.withColumn("reached", F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    spans = spans.withColumn("run", F.sum(F.when(F.col("lo") <= F.col("reached"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = spans.groupBy("digest", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    found = materialise(items.join(runs, "digest"), "found")
+    discard(prefix, hits, rarity)
+    return rows.where("pos is null").select("doc_id", "digest", "n_words"), found
 
 
 def n_hit(runs: Column) -> Column:
@@ -167,15 +292,17 @@ def n_hit(runs: Column) -> Column:
 
 def contaminated_report(docs: DataFrame, bench: DataFrame, min_items: int = 2, **options) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, runs) for every row of ``docs``."""
-    out = contamination(docs.select("doc_id", "text"), bench, **options)
-    n = F.size("__plait_items").cast("long")
+    rows, found = search(docs, bench, **options)
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    out = rows.join(found, "digest", "left").withColumn("n_items", F.size(names).cast("long"))
     return out.select(
         "doc_id",
-        F.col("__plait_words").alias("n_words"),
-        n_hit(F.col("__plait_runs")).alias("n_hit"),
-        n.alias("n_items"),
-        F.sha2(F.array_join("__plait_items", ","), 256).alias("items_sha256"),
-        (n >= min_items).alias("contaminated"),
+        "n_words",
+        F.coalesce(n_hit(F.col("runs")), F.lit(0).cast("long")).alias("n_hit"),
+        "n_items",
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (F.col("n_items") >= min_items).alias("contaminated"),
+        "runs",
     )
 
 
@@ -190,8 +317,10 @@ def clean(docs: DataFrame, bench: DataFrame, min_items: int = 2, window: int = W
     With ``evidence``, rows whose hits are too few words also stay (``enough``): the one to seven words of a
     short item stand in clean text, too.
     """
-    out = contamination(docs, bench, window=window, **options)
-    hit = F.size("__plait_items") >= min_items
+    rows, found = search(docs, bench, window=window, **options)
+    hit = found.where(F.size("items") >= min_items)
     if evidence:
-        hit = hit & enough(F.col("__plait_words"), F.col("__plait_runs"), window)
-    return out.where(~hit).select(*docs.columns)
+        long = rows.select("digest", "n_words").distinct()
+        hit = hit.join(long, "digest").where(enough(F.col("n_words"), F.col("runs"), window))
+    gone = materialise(hit.select(F.col("digest").alias("__plait_digest")), "contaminated")
+    return docs.join(gone, digest(F.col("text")) == F.col("__plait_digest"), "left_anti")

@@ -43,12 +43,14 @@ def tables():
     return docs, items
 
 
-@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 300])
-def test_report_matches_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("bits", [decontam.FILTER_BITS, 6])
+def test_report_matches_brute_force(spark, bits, monkeypatch):
+    """Also with a filter of so few bits that it lets almost everything through."""
+    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
     docs, items = tables()
     d = spark.createDataFrame(docs, "doc_id long, text string, items string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contaminated_report(d, b, block_bytes=block_bytes).collect())
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contaminated_report(d, b).collect())
     want = []
     for k, t, _ in docs:
         x = (20_000, 20_000, 1, hashlib.sha256(b"3").hexdigest()) if k == 102 else brute(t, items)
@@ -76,18 +78,64 @@ def test_the_stage_asks_more_of_short_items(spark, tmp_path):
     assert sorted(r.doc_id for r in out.collect()) == [1, 5, 6]
 
 
-def test_partial_containment():
-    item = [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"h"]
-    index = decontam.Index([("1", item)], {}, 8, 0.75)
-    for gone in range(3):
-        doc = [b"x", *item, b"y"]
-        for k in range(gone):
-            doc[1 + 3 * k] = b"z"
-        assert index.search(doc)[0] == {"1"}
-    doc = [b"x", *item, b"y"]
-    for k in (1, 3, 5):
-        doc[k] = b"z"
-    assert index.search(doc)[0] == set()
+def test_partial_containment_matches_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=n))) for k, n in enumerate((8, 9, 20, 3, 1))]
+    docs = []
+    for k in range(80):
+        parts = rng.choices(vocabulary, k=rng.randint(0, 30))
+        item = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 3)):
+            item[rng.randrange(len(item))] = "other"
+        docs.append((k, " ".join(parts + item + parts[:3])))
+    for contain in (0.75, 0.5, 0.875):
+        _, found = decontam.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), contain=contain)
+        got = {bytes(r.digest): (r["items"], [tuple(x) for x in r.runs]) for r in found.collect()}
+        want = {}
+        for _, t in docs:
+            ws, names, hit = t.split(), set(), set()
+            for name, item in items:
+                iw = item.split()
+                n = min(8, len(iw))
+                for k in range(len(iw) - n + 1):
+                    for p in range(len(ws) - n + 1):
+                        if sum(x == y for x, y in zip(ws[p : p + n], iw[k : k + n], strict=True)) >= n * contain:
+                            names.add(str(name))
+                            hit |= set(range(p, p + n))
+            if names:
+                edges = [p for p in hit if p - 1 not in hit], [p + 1 for p in hit if p + 1 not in hit]
+                want[hashlib.sha256(t.encode()).digest()] = (sorted(names), list(zip(sorted(edges[0]), sorted(edges[1]), strict=True)))
+        assert got == want
+
+
+def test_words_are_hashed_by_content():
+    hasher = decontam.Hasher()
+    rng = random.Random(9)
+    texts = [b"", b"  ", b"One two", b"three", b"one TWO-one", b"x" * 5000 + b" " + b"y" * 4096, "Über straße 日本".encode(), b"a" * 3_000_000, b"end", (b"word " * 500_000) + b"last"]
+    texts += [bytes(rng.choices(b"ab c,D", k=rng.randint(0, 40))) for _ in range(300)]
+    folded = b"".join(texts).translate(decontam._FOLD)
+    import numpy as np
+
+    ends = np.cumsum([len(t) for t in texts])
+    start, end, h = hasher.words(folded, ends)
+    want = [w for t in texts for w in words(t.decode())]
+    assert [folded[x:y] for x, y in zip(start, end, strict=True)] == want
+    by = {}
+    for w, x in zip(want, h.tolist(), strict=True):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by)
+
+
+def test_a_passage_that_very_many_documents_share(spark):
+    """A third of all documents hold one passage, many of them as copies, and one text is very long."""
+    passage = "ten small words that so many of the texts repeat here"
+    docs = [(k, f"{passage} tail {k % 40}" if k % 3 == 0 else f"other text {k}") for k in range(3000)] + [(9999, "noise " * 300_000 + passage)]
+    items = [(1, passage), (2, passage + " and more of it than that"), (3, "words that no document has at all in any place")]
+    out = decontam.contaminated_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(out) == len(docs)
+    for r in out:
+        assert (r.n_hit, r.n_items) == ((11, 2) if r.doc_id % 3 == 0 or r.doc_id == 9999 else (0, 0))
 
 
 def test_empty_tables(spark):
