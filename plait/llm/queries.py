@@ -41,7 +41,7 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated_report(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("runs")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
