@@ -79,53 +79,56 @@ def held(d):
 @pytest.mark.parametrize("entries", [lm.HEAD_ENTRIES, 40])
 def test_report_matches_brute_force(spark, monkeypatch, entries):
     monkeypatch.setattr(lm, "HEAD_ENTRIES", entries)
-    monkeypatch.setattr(lm, "HELD_WORDS", 50)
     data = rows()
     got = lm.score_report(spark.createDataFrame(data, "doc_id long, text string, lang string, score string"), VOCABULARY, steps=1).collect()
     assert len(got) == len(data)
     words = lambda t: (t or "").encode().lower().split()
-    train = [(t, z) for d, t, z, _ in data if not held(d)]
-    c = Counter(w for t, _ in train for w in words(t))
+    train = [t for d, t, *_ in data if not held(d)]
+    c = Counter(w for t in train for w in words(t))
     n, v = sum(c.values()) + len(train), len(c) + 1
     # The model from its definition.
-    pieces, log_p = lm.vocabulary_of(VOCABULARY)
+    pieces, log_p, given = lm.vocabulary_of(VOCABULARY)
+    assert not given
     into, lattice = [0.0] * len(pieces), lm.Lattice(pieces, log_p)
     for w in c:
         lattice.expect(w, 1, into)
     e = np.array(into) + lm.FLOOR
     lattice = lm.Lattice(pieces, np.log(e / e.sum()).tolist())
-    labels = list(dict.fromkeys(z for _, z in train))
-    by = {z: Counter(w for t, y in train if y == z for w in words(t)) for z in labels}
-    know = Counter(w for z in labels for w in by[z])
+    d = lm.discount_of(*(sum(x == k for x in c.values()) for k in (1, 2)))
 
-    def disc(counts):
-        a, b = (sum(x == k for x in counts.values()) for k in (1, 2))
-        return lm.discount_of(a, b)
-
-    def log10_p(w, z):
-        spelling = math.exp(lattice.marginal(w))
-        d, k = disc(know), sum(know.values())
-        general = max(know[w] - d, 0) / k + d * len(know) / k * spelling
-        d, size = disc(by[z]), sum(by[z].values()) + sum(y == z for _, y in train)
-        return math.log10(max(by[z][w] - d, 0) / size + d * len(by[z]) / size * general)
+    def log10_p(w):
+        spelling = lattice.marginal(w)
+        rest = math.log10(d * len(c) / n) + spelling / math.log(10)
+        return math.log10(max(c[w] - d, 0) / n + 10**rest) if c[w] else rest
 
     want = {}
-    for d, t, _, _ in data:
+    for k, t, *_ in data:
         ws = Counter(words(t))
         base = sum(m * math.log10((c[w] + 1) / (n + v + 1)) for w, m in ws.items()) + math.log10((len(train) + 1) / (n + v + 1))
-        ways = []
-        for z in labels:
-            docs = sum(y == z for _, y in train)
-            size = sum(by[z].values()) + docs
-            ways.append(sum(m * log10_p(w, z) for w, m in ws.items()) + math.log10(docs / size) + math.log10(docs / len(train)))
-        top = max(ways)
-        want.setdefault(d, []).append((sum(ws.values()) + 1, 1 + sum(m for w, m in ws.items() if c[w]), base, top + math.log10(sum(10 ** (x - top) for x in ways))))
+        want[k] = (sum(ws.values()) + 1, 1 + sum(m for w, m in ws.items() if c[w]), base, math.log10(len(train) / n) + sum(m * log10_p(w) for w, m in ws.items()))
     for r in got:
-        x = want[r.doc_id][0]
+        x = want[r.doc_id]
         assert (r.held_out, r.train_tokens, r.n_tokens, r.n_known) == (held(r.doc_id), n, x[0], x[1])
         assert math.isclose(r.base_score, x[2], rel_tol=1e-9) and math.isclose(r.score, x[3], rel_tol=1e-7)
 
 
+def test_counts_do_not_depend_on_what_a_task_holds(spark):
+    text = " ".join(f"w{k % 7000}" for k in range(20_000))
+    df = spark.createDataFrame([(False, text), (True, "w1 new"), (False, "w1 " + "x" * 200_000)], "held_out boolean, text string").coalesce(1)
+    got = {bytes(r.word): (r.c, r.n) for r in lm.word_counts(df).collect()}
+    c = Counter(text.encode().split()) + Counter([b"w1", b"x" * 200_000])
+    assert got == {w: (c[w], c[w] + (w in (b"w1", b"new"))) for w in [*c, b"new"]}
+
+
+def test_the_whole_word_is_one_more_arc():
+    pieces = small()
+    lattice = lm.Lattice(list(pieces), [math.log(w) for w in pieces.values()])
+    for word in ("a", "abab", ""):
+        want = 0.3 * all_ways(pieces, lm.MARK + word) + 0.04
+        assert math.isclose(lattice.marginal(word.encode(), math.log(0.3), math.log(0.04)), math.log(want), rel_tol=1e-9)
+    assert math.isclose(lattice.marginal(b"xyz", math.log(0.3), math.log(0.04)), math.log(0.04))
+
+
 def test_without_training_documents(spark):
     ids = [k for k in range(60) if held(k)][:3]
     df = spark.createDataFrame([(k, "some words", "en") for k in ids], "doc_id long, text string, lang string")
