@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from xxhash import xxh64_intdigest
 
 from .common import discard, materialise, small_batches
+from .hashing import Hasher, TextBatch, mixed
 
 WINDOW = 8
 SHINGLE = 3
@@ -48,14 +48,10 @@ FILTER_BITS = 26
 SALTS = 8
 #: Runs of ASCII letters and digits and of everything beyond ASCII, after lower-casing A-Z.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes that are hashed together; longer words are hashed one by one.
-BLOCK = 1 << 20
-LONG_WORD = 1 << 12
 #: Occurrences that are handed on together.
 ROWS = 1 << 14
 
 _FOLD = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_BASE = 0x9E3779B97F4A7C15
 _WEIGHTS = tuple(np.uint64(pow(0xD1342543DE82EF95, k + 1, 1 << 64)) for k in range(SHINGLE))
 
 
@@ -63,50 +59,6 @@ def words(text: bytes | None) -> list[bytes]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(BLOCK + LONG_WORD + 1, np.uint64(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-class Hasher:
-    """Hashes of words by position: a polynomial over the bytes, read from running sums."""
-
-    def __init__(self):
-        self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
-
-    def words(self, folded: bytes, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, end, hash) of every word; none goes over a cut (the sorted ends of texts)."""
-        raw = np.frombuffer(folded, dtype=np.uint8)
-        inside = raw != 32
-        edge = np.empty(len(raw) + 1, dtype=bool)
-        edge[0], edge[-1] = inside[:1].any(), inside[-1:].any()
-        edge[1:-1] = inside[1:] != inside[:-1]
-        # A cut inside a run of letters ends one word and starts the next.
-        at = cuts[(cuts > 0) & (cuts < len(raw))]
-        at = np.unique(at[inside[at - 1] & inside[at]]) if len(at) else at
-        marks = np.flatnonzero(edge)
-        if len(at):
-            marks = np.sort(np.concatenate([marks, at, at]))
-        start, end = marks[::2], marks[1::2]
-        h = np.empty(len(start), dtype=np.uint64)
-        for k in np.flatnonzero(end - start > LONG_WORD):
-            h[k] = xxh64_intdigest(folded[start[k] : end[k]])
-        short = np.flatnonzero(end - start <= LONG_WORD)
-        for part in np.split(short, np.flatnonzero(np.diff(start[short] // BLOCK)) + 1):
-            if len(part):
-                lo, hi = int(start[part[0]]), int(end[part[-1]])
-                total = np.zeros(hi - lo + 1, dtype=np.uint64)
-                np.cumsum((raw[lo:hi].astype(np.uint64) + np.uint64(1)) * self.up[: hi - lo], out=total[1:])
-                h[part] = (total[end[part] - lo] - total[start[part] - lo]) * self.down[start[part] - lo]
-        return start, end, _mixed(h)
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29))
-
-
 def shingles(h: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the runs of ``width`` words, one for each that starts at a word."""
     n = len(h) - width + 1
@@ -115,7 +67,7 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     out = np.full(n, np.uint64(width))
     for k in range(width):
         out += h[k : k + n] * _WEIGHTS[k]
-    return _mixed(out)
+    return mixed(out)
 
 
 def prefix_of(n: int, contain: float) -> tuple[int, int]:
@@ -173,18 +125,11 @@ class Filter:
         return (self.table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-class Batch:
+class Batch(TextBatch):
     """The words of a batch of texts, hashed together."""
 
     def __init__(self, hasher: Hasher, texts: pa.Array):
-        _, offsets, data = texts.buffers()
-        cut = np.frombuffer(offsets, dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        self.folded = (memoryview(data)[cut[0] : cut[-1]].tobytes() if data is not None else b"").translate(_FOLD)
-        ends = cut[1:] - cut[0]
-        self.start, self.end, self.hash = hasher.words(self.folded, ends)
-        self.of = np.searchsorted(ends, self.start, side="right")
-        self.n_words = np.bincount(self.of, minlength=len(texts))
-        self.first = np.r_[0, np.cumsum(self.n_words)]
+        super().__init__(hasher, texts, _FOLD)
 
     def found(self, filters: Filter, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(word number, hash) of the shingles that the filter lets through; none goes over the end of a text."""

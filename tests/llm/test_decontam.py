@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from plait.llm import decontam
+from plait.llm import decontam, hashing
 
 
 def words(t):
@@ -110,7 +110,7 @@ def test_partial_containment_matches_brute_force(spark):
 
 
 def test_words_are_hashed_by_content():
-    hasher = decontam.Hasher()
+    hasher = hashing.Hasher()
     rng = random.Random(9)
     texts = [b"", b"  ", b"One two", b"three", b"one TWO-one", b"x" * 5000 + b" " + b"y" * 4096, "Über straße 日本".encode(), b"a" * 3_000_000, b"end", (b"word " * 500_000) + b"last"]
     texts += [bytes(rng.choices(b"ab c,D", k=rng.randint(0, 40))) for _ in range(300)]
