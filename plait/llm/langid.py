@@ -9,8 +9,10 @@ with the steepest gain, as long as the log-likelihood rises by more than ``penal
 proportion (ties: the smaller name); its proportion is the score.
 
 Counts of trigrams cover all labelled documents. The model has 2^16 rows for each language,
-so its size is bound by the number of labels, which is checked against ``max_languages``. Documents are scored in
-vectors over many units; a very long text is only more units.
+so its size is bound by the number of labels, which is counted and checked against ``max_languages`` (a parameter) before anything is
+learned; each language's row is made by a task. Documents are scored in
+vectors over many units. What a task holds is bounded by ``ENTRIES`` (units times languages, and trigrams times languages): the units of a very long text
+are longer, so that there are no more of them, and all its trigrams count.
 
 Defined cases. Text that is null or has no letter is ``und`` with score 0, and teaches nothing. Null or blank labels teach
 nothing. Without any labelled document every language is ``und``. Repeated rows count and are
@@ -31,8 +33,8 @@ UNIT = 32
 STEPS = 25
 PENALTY = 3.0
 MAX_LANGUAGES = 512
-#: Units inferred together; bounds the memory of a batch.
-UNITS_AT_ONCE = 1 << 16
+#: Units times languages that are inferred together, and trigrams times languages that are looked up together.
+ENTRIES = 1 << 21
 
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -75,18 +77,26 @@ class Model:
         self.langs, self.log_p = langs, log_p
 
 
+def _row(rows: pa.Table) -> pa.Table:
+    """The log probabilities of one language as the bytes of 2^16 floats."""
+    counts = np.zeros(BUCKETS)
+    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    log_p = np.log((counts + 1) / (counts.sum() + BUCKETS)).astype("<f4")
+    return pa.table({"lang": rows.column("lang").slice(0, 1), "log_p": pa.array([log_p.tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from the text and lang of ``docs``."""
     labelled = docs.where("lang is not null and trim(lang) <> '' and text is not null")
-    rows = trigram_counts(labelled).toPandas()
-    langs = sorted(rows["lang"].unique())
-    if len(langs) > max_languages:
-        raise ValueError(f"{len(langs)} languages; the model is bound to {max_languages}")
-    counts = np.zeros((BUCKETS, len(langs)))
-    if langs:
-        counts[rows["bucket"].to_numpy(), [langs.index(x) for x in rows["lang"]]] = rows["n"].to_numpy()
-    p = (counts + 1) / (counts.sum(axis=0) + BUCKETS)
-    return Model(langs, np.log(p).astype(np.float32))
+    n = labelled.agg(F.count_distinct("lang")).first()[0]
+    if n > max_languages:
+        raise ValueError(f"{n} languages; the model is bound to {max_languages}")
+    rows = trigram_counts(labelled).groupBy("lang").applyInArrow(_row, "lang string, log_p binary")
+    by = {r.lang: np.frombuffer(r.log_p, dtype="<f4") for r in rows.toLocalIterator()}
+    log_p = np.empty((BUCKETS, len(by)), dtype=np.float32)
+    for k, lang in enumerate(sorted(by)):
+        log_p[:, k] = by[lang]
+    return Model(sorted(by), log_p)
 
 
 def _maximise(like: np.ndarray, start: np.ndarray, weight: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,14 +112,24 @@ def _maximise(like: np.ndarray, start: np.ndarray, weight: np.ndarray, steps: in
     return weight, np.add.reduceat(np.log(mixed), start), gain
 
 
+def unit_of(n_trigrams: int, n_lang: int) -> int:
+    """Trigrams of a unit: ``UNIT``, or more where a text would have too many units."""
+    return max(UNIT, -(-n_trigrams // max(1, ENTRIES // n_lang)))
+
+
 def infer(model: Model, trigrams: list[np.ndarray], penalty: float = PENALTY, steps: int = STEPS) -> np.ndarray:
     """Language proportions (documents x languages) of documents that have trigrams."""
     n_lang = len(model.langs)
-    sizes = np.array([-(-len(t) // UNIT) for t in trigrams])
+    units = [unit_of(len(t), n_lang) for t in trigrams]
+    sizes = np.array([-(-len(t) // u) for t, u in zip(trigrams, units, strict=True)])
     first = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
     log_like = np.empty((int(sizes.sum()), n_lang), dtype=np.float64)
-    for t, at, n in zip(trigrams, first, sizes, strict=True):
-        log_like[at : at + n] = np.add.reduceat(model.log_p[t], np.arange(0, len(t), UNIT), axis=0)
+    for t, u, at in zip(trigrams, units, first, strict=True):
+        many = max(1, ENTRIES // (n_lang * u))
+        for k in range(0, len(t), many * u):
+            part = t[k : k + many * u]
+            starts = np.arange(0, len(part), u)
+            log_like[at + k // u : at + k // u + len(starts)] = np.add.reduceat(model.log_p[part], starts, axis=0, dtype=np.float64)
     best = log_like.max(axis=1, keepdims=True)
     like = np.exp(np.maximum(log_like - best, -600.0))
     top = np.add.reduceat(best[:, 0], first)
@@ -169,12 +189,14 @@ def detect(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame
             for k, text in enumerate(b.column(1)):
                 t = text.as_py()
                 if m.langs and t is not None and has_letter(t):
-                    at.append(k)
-                    held.append(buckets_of(t))
-                    units += len(held[-1]) // UNIT + 1
-                    if units >= UNITS_AT_ONCE:
+                    found = buckets_of(t)
+                    n_units = len(found) // unit_of(len(found), len(m.langs)) + 1
+                    if held and (units + n_units) * len(m.langs) > ENTRIES:
                         flush()
                         units = 0
+                    at.append(k)
+                    held.append(found)
+                    units += n_units
             if at:
                 flush()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score), pa.array(langs, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "langs", "shares"])

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -70,6 +72,77 @@ def test_batches_do_not_matter(monkeypatch, spark):
     assert np.allclose(whole, each)
 
 
+def brute(rows):
+    """lang_pred, score and shares of every document, by plain loops over the definition."""
+    buckets = lambda t: langid.buckets_of(t).tolist()
+    letters = lambda t: t is not None and any(c.isalpha() for c in t)
+    counts = {}
+    for d, t, lang, *_ in rows:
+        if d is not None and crc32(str(d).encode()) % 4 != 2 and lang and lang.strip() and letters(t):
+            counts.setdefault(lang, Counter()).update(buckets(t))
+    langs = sorted(counts)
+    total = {z: sum(counts[z].values()) + langid.BUCKETS for z in langs}
+    out = []
+    for _, t, *_ in rows:
+        if not letters(t) or not langs:
+            out.append(("und", 0.0, {}))
+            continue
+        b = buckets(t)
+        units = [[sum(math.log((counts[z][x] + 1) / total[z]) for x in b[k : k + langid.UNIT]) for z in langs] for k in range(0, len(b), langid.UNIT)]
+        lift = [max(u) for u in units]
+        like = [[math.exp(max(x - m, -600)) for x in u] for u, m in zip(units, lift, strict=True)]
+        sums = [sum(u[z] for u in units) for z in range(len(langs))]
+        lead = sums.index(max(sums))
+        share = {lead: 1.0}
+        best = sums[lead] - sum(lift)
+        while True:
+            mixed = [max(sum(share[z] * u[z] for z in share), 1e-300) for u in like]
+            gain = {z: sum(u[z] / m for u, m in zip(like, mixed, strict=True)) - len(units) for z in range(len(langs)) if z not in share}
+            if not gain or max(gain.values()) <= 0:
+                break
+            add = max(gain, key=lambda z: (gain[z], -z))
+            trial = {z: 1 / (len(share) + 1) for z in [*share, add]}
+            for _ in range(langid.STEPS):
+                parts = []
+                for u in like:
+                    w = {z: trial[z] * u[z] for z in trial}
+                    parts.append({z: w[z] / sum(w.values()) for z in w})
+                trial = {z: sum(x[z] for x in parts) / len(parts) for z in trial}
+            found = sum(math.log(sum(trial[z] * u[z] for z in trial)) for u in like)
+            if found - best <= langid.PENALTY * math.log1p(len(units)):
+                break
+            share, best = trial, found
+        top = min(share, key=lambda z: (-share[z], z))
+        out.append((langs[top], share[top], {langs[z]: w for z, w in share.items()}))
+    return out
+
+
+def test_the_query_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = corpus()[:120] + [(900, None, "en", "x"), (901, "12 34", "de", "x"), (None, "die frau und das haus", "de", "x"), (902, "x", " ", "x")]
+    for k in range(30):
+        pair = rng.sample(list(WORDS), 2)
+        rows.append((1000 + k, " ".join(" ".join(rng.choices(WORDS[z], k=rng.randint(20, 120))) for z in pair), None, "x"))
+    got = langid.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string, x string")).collect()
+    want = {d: x for (d, *_), x in zip(rows, brute(rows), strict=True)}
+    assert sum(len(x[2]) > 1 for x in want.values()) > 15
+    for r in got:
+        pred, score, shares = want[r.doc_id]
+        assert (r.lang_pred, set(r.langs)) == (pred, set(shares)) and abs(r.score - score) < 1e-3
+        assert all(abs(shares[z] - w) < 1e-3 for z, w in zip(r.langs, r.shares, strict=True))
+
+
+def test_long_texts_have_longer_units(monkeypatch):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.ones(langid.BUCKETS), 2)
+    model = langid.Model(["a", "b"], np.log(p.T).astype(np.float32))
+    t = np.r_[rng.choice(langid.BUCKETS, 14_000, p=p[1]), rng.choice(langid.BUCKETS, 6_000, p=p[0])]
+    whole = langid.infer(model, [t])
+    monkeypatch.setattr(langid, "ENTRIES", 256)
+    assert langid.unit_of(20_000, 2) == 157 and langid.unit_of(100, 2) == langid.UNIT
+    assert np.abs(whole - [[0.3, 0.7]]).max() < 0.02 and np.abs(langid.infer(model, [t]) - whole).max() < 0.03
+
+
 def test_without_labels_and_without_rows(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.language_report(df).collect()] == [("und", 0.0)]
