@@ -10,7 +10,7 @@ continue one. The vocabulary comes from a public SentencePiece model, whose piec
 which has every single byte, so every word has a segmentation. No tokenizer is trained here.
 
 Text is split on space and U+0009 to U+000D. Counts of distinct words are remembered in each worker, up to a
-bound on entries that only decides what is counted again.
+bound in bytes that only decides what is counted again.
 
 Defined cases. Null and blank texts have zero words and tokens. Repeated rows each return their row. Extra columns are ignored.
 """
@@ -28,8 +28,9 @@ from .common import small_batches
 #: The symbol that starts a word; bytes are 0 to 255.
 START = 256
 MARK = "▁"
-#: Entries of a worker's memory of counted words; it is emptied when full.
-MEMORY = 1 << 19
+#: Bytes of a worker's memory of counted words, with ``ENTRY_BYTES`` for each; it is emptied when full.
+MEMORY = 96 << 20
+ENTRY_BYTES = 160
 
 
 def load_pieces(path: str) -> list[tuple[int, ...]]:
@@ -109,7 +110,7 @@ def token_counts(docs: DataFrame, vocabulary: str, memory: int = MEMORY) -> Data
     automaton = docs.sparkSession.sparkContext.broadcast(Automaton(load_pieces(vocabulary)))
 
     def run(batches):
-        count, known = automaton.value.count, {}
+        count, known, size = automaton.value.count, {}, 0
         for b in batches:
             n_bytes, n_words, n_tokens = [], [], []
             for t in b.column(1):
@@ -119,8 +120,10 @@ def token_counts(docs: DataFrame, vocabulary: str, memory: int = MEMORY) -> Data
                 for w, k in Counter(words).items():
                     c = known.get(w)
                     if c is None:
-                        if len(known) >= memory:
+                        size += len(w) + ENTRY_BYTES
+                        if size > memory:
                             known.clear()
+                            size = len(w) + ENTRY_BYTES
                         c = known[w] = count(w)
                     total += c * k
                 n_bytes.append(len(text))
