@@ -87,6 +87,11 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def same_columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.transform(F.array(value), body)[0]

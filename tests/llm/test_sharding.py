@@ -1,8 +1,11 @@
-from collections import Counter
+import struct
+from collections import Counter, deque
+from functools import reduce
 from zlib import crc32
 
 import pytest
 from plait.llm import sharding
+from xxhash import xxh64_intdigest
 
 
 def table(spark, n=2000):
@@ -21,6 +24,65 @@ def test_law_slots_and_digests(spark):
     assert {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
 
 
+def brute_ring(rows, shards=16):
+    """(doc_id, text, home, shard, slot) of every row, walked one document at a time."""
+    chain = lambda *parts: reduce(lambda h, x: xxh64_intdigest(struct.pack("<q", x) if isinstance(x, int) else x, h), parts, 42)
+    nodes = {}
+    for s in range(shards):
+        for r in range(sharding.REPLICAS):
+            at = chain(b"node", s, r) >> 48
+            nodes[at] = min(s, nodes.get(at, s))
+    ring = sorted(nodes.items())
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    arcs = [[] for _ in ring]
+    for d, t, *_ in rows:
+        h = chain(d) if d is not None else chain(t.encode()) if t is not None else 42
+        at = h >> 48
+        k = next((k for k, (p, _) in enumerate(ring) if at <= p), 0)
+        turn = at - (1 << 16) if k == 0 and at > ring[-1][0] else at
+        raw = (t or "").encode()
+        arcs[k].append(((turn, signed(h), d is not None, d or 0, crc32(raw), len(raw) + 1), d, t))
+    room = [len(rows) // shards + (k < len(rows) % shards) for k in range(shards)]
+    used, out, carried = [0] * shards, [], deque()
+
+    def put(doc, home, shard):
+        out.append((str(doc[1]), str(doc[2]), home, shard, used[shard]))
+        used[shard] += 1
+
+    for turn in range(2):
+        for k, (_, shard) in enumerate(ring):
+            waiting = deque(sorted(arcs[k], key=lambda x: x[0])) if not turn else deque()
+            while waiting and used[shard] < room[shard]:
+                put(waiting.popleft(), shard, shard)
+            carried.extend((x, shard) for x in waiting)
+            while carried and used[shard] < room[shard]:
+                put(*carried.popleft(), shard)
+    return out
+
+
+def test_every_row_is_where_the_ring_says(spark):
+    df, rows = table(spark, 400)
+    out = sharding.assign(sharding.measured(df)).collect()
+    got = sorted((str(r.doc_id), str(r.text), r["__plait_home"], r["__plait_shard"]) for r in out)
+    want = brute_ring(rows)
+    assert got == sorted(x[:4] for x in want)
+    assert Counter((r["__plait_shard"], r["__plait_slot"]) for r in out) == Counter(x[3:] for x in want)
+    # Rows that differ have the slots of the walk, too.
+    once = Counter((str(d), str(t)) for d, t, _ in rows)
+    assert {(str(r.doc_id), str(r.text), r["__plait_slot"]) for r in out if once[str(r.doc_id), str(r.text)] == 1} == {(d, t, s) for d, t, _, _, s in want if once[d, t] == 1}
+
+
+def test_hot_positions_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    rows = [(k, f"t{k}") for k in range(300)] + [(7, f"copy {k}") for k in range(500)] + [(None, "same")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard_report(df).collect()
+    counts = Counter(r.shard for r in got)
+    assert len(got) == 1200 and max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in range(16))
+    assert sorted((str(r.doc_id), r.size) for r in got) == sorted((str(d), len(t) + 1) for d, t in rows)
+
+
 def test_the_same_again(spark):
     df, _ = table(spark)
     a = sorted(map(str, sharding.shard_report(df).collect()))
@@ -43,9 +105,9 @@ def test_headroom_bounds_loads_and_limits_movement(spark):
 
 
 def test_clashing_columns_stay(spark):
-    df = spark.createDataFrame([(k, f"t{k}", k, k, k, k) for k in range(40)], "doc_id long, text string, shard int, lo int, n int, arc int")
+    df = spark.createDataFrame([(k, f"t{k}", k, k, k, k, k, k) for k in range(40)], "doc_id long, text string, shard int, lo int, n int, arc int, `a.b` int, part int")
     out = sharding.assign(sharding.measured(df)).collect()
-    assert len(out) == 40 and all(r.shard == r.lo == r.n == r.arc == r.doc_id for r in out)
+    assert len(out) == 40 and all(r.shard == r.lo == r.n == r.arc == r["a.b"] == r.part == r.doc_id for r in out)
 
 
 def test_overflow_goes_clockwise():
