@@ -35,7 +35,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -72,8 +72,8 @@ def fingerprint(text: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFrame:
-    """(doc_id, fp), if ``keyed`` with text_hash between: fp is the fingerprint's 64 bits as a signed long."""
-    keys = [F.col("doc_id").cast("long").alias("doc_id"), *([F.xxhash64("text").alias("text_hash")] if keyed else [])]
+    """(doc_id, fp), if ``keyed`` with text_hash (binary) between: fp is the fingerprint's 64 bits as a signed long."""
+    keys = [F.col("doc_id").cast("long").alias("doc_id"), *([text_key(F.col("text")).alias("text_hash")] if keyed else [])]
     names = ["doc_id", *(["text_hash"] if keyed else []), "fp"]
 
     def run(batches):
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3, keyed: bool = False) -> DataFr
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp.view(np.int64))], names=names)
 
     src = small_batches(docs).select(*keys, F.col("text").cast("binary").alias("text"))
-    return src.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return src.mapInArrow(run, ", ".join(f"{n} {'binary' if n == 'text_hash' else 'long'}" for n in names))
 
 
 def pivots() -> np.ndarray:
@@ -291,6 +291,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, cell_rows:
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_key(text: Column) -> Column:
+    """What a text is known by: its SHA-256."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def keep_rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """One row of each label of ``keyed`` (doc_id, text_hash, label): of its smallest doc_id (null last), then its smallest text hash.
 
@@ -299,10 +304,10 @@ def keep_rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     keep = keyed.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__plait_id"), F.col("k.text_hash").alias("__plait_text"))
     keep = materialise(keep.distinct(), "keep")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__plait_id")) & (F.xxhash64("text") == F.col("__plait_text"))
-    out = docs.join(keep, same, "left_semi").select(*docs.columns)
-    named = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"))
-    repeated = not named.groupBy("d", "h").count().where("count > 1").isEmpty()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__plait_id")) & text_key(F.col("text")).eqNullSafe(F.col("__plait_text"))
+    out = docs.join(keep, same, "left_semi")
+    # One doc_id with one text on several rows: they are told apart by nothing, so one of them stays.
+    repeated = not keyed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 
 
