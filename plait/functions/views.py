@@ -162,50 +162,44 @@ def keep_view(lines: list[str], keep: set[int], blobs: dict[str, bytes]) -> list
 
 
 def compress_budget(text: str, max_bytes: int) -> tuple[list[Segment], dict[str, bytes]]:
-    """The plain view if it fits; else the most telling lines, halved in number until they fit or only the ends are left."""
+    """The plain view if it fits; else the ends and the most telling lines, halved in number until they fit or only the ends are left."""
     view, blobs = compress_text(text)
     if view_bytes(view) <= max_bytes:
         return view, blobs
     lines = escaped(text)
-    rank = sorted(range(len(lines)), key=lambda k: (-anomaly_score(lines[k]), k))
-    count = len(lines) // 2
-    while True:
-        keep = {0, len(lines) - 1}
-        for k in rank:
-            if len(keep) >= count:
-                break
-            keep.add(k)
+    ends = list(dict.fromkeys((0, len(lines) - 1)))
+    inner = sorted(range(1, len(lines) - 1), key=lambda k: -anomaly_score(lines[k]))
+    order = ends + inner
+    for halved in range(1, len(lines).bit_length() + 1):
         blobs = {}
-        view = keep_view(lines, keep, blobs)
-        if view_bytes(view) <= max_bytes or count == 0:
-            return view, blobs
-        count //= 2
-
-
-# Format-aware views: a class for each line, None for lines that stay.
-
-_PROGRESS = re.compile(r"[.FEs\[\]%0123456789]+\Z")
-
-
-def _pytest(line: str) -> str | None:
-    if line.startswith(("===", "---", "___", "FAILED ", "ERROR ", "    ", ">", "E ", "short test summary")):
-        return None
-    t = line.strip()
-    return "noise" if " PASSED" in line or (t and size_of(t) < 80 and _PROGRESS.match(t)) else None
-
-
-def _cargo(line: str) -> str | None:
-    if line.startswith(("   Compiling ", "   Downloading ")):
-        return "building"
-    return "passing" if line.startswith("test ") and line.endswith(" ... ok") else None
-
-
-def _package(line: str) -> str | None:
-    low = re.sub("[A-Z]", lambda m: m[0].lower(), line)
-    telling = ("error", "warn", "successfully installed", "successfully downloaded", "failed", "vulnerability", "vulnerabilities")
-    if any(w in low for w in telling) or ("added " in low and "packages" in low) or low.startswith("requirement already satisfied"):
-        return None
-    return "progress" if low.startswith(("downloading", "installing", "collecting", "npm notice", "obtaining", "using cached")) else None
+        view = keep_view(lines, set(order[: max(len(ends), len(lines) >> halved)]), blobs)
+        if view_bytes(view) <= max_bytes:
+            break
+    return view, blobs
+
+
+# Format-aware views: rules in order of precedence, (class, pattern of the line); class None and lines without a rule stay.
+# What the formats' lines look like.
+RULES: dict[str, list[tuple[str | None, re.Pattern]]] = {
+    "pytest": [
+        (None, re.compile(r"===|---|___|FAILED |ERROR |    |>|E |short test summary")),
+        ("noise", re.compile(r"(?s).* PASSED")),
+        ("noise", re.compile(r"\s*(?=\S)[.FEs \[\]%0-9]{1,79}(?<=\S)\s*\Z")),
+    ],
+    "cargo": [
+        ("building", re.compile(r"   Compiling |   Downloading ")),
+        ("passing", re.compile(r"(?s)(?=test ).* \.\.\. ok\Z")),
+    ],
+    "package-manager": [
+        (None, re.compile(r"(?s).*(?:error|warn|successfully installed|successfully downloaded|failed|vulnerability|vulnerabilities)", re.I | re.A)),
+        (None, re.compile(r"(?s)(?=.*added ).*packages|requirement already satisfied", re.I | re.A)),
+        ("progress", re.compile(r"downloading|installing|collecting|npm notice|obtaining|using cached", re.I | re.A)),
+    ],
+}
+
+
+def class_of(fmt: str, line: str) -> str | None:
+    return next((c for c, rule in RULES[fmt] if rule.match(line)), None)
 
 
 def _elide_classes(lines: list[str], classes: list[str | None], blobs: dict[str, bytes]) -> list[Segment]:
@@ -250,9 +244,8 @@ def compress_format(text: str, name: str) -> tuple[list[Segment], dict[str, byte
     """A view by the rules of a format; formats that are compact already stay literal."""
     blobs: dict[str, bytes] = {}
     lines = escaped(text)
-    if name in ("pytest", "cargo", "package-manager"):
-        of = {"pytest": _pytest, "cargo": _cargo, "package-manager": _package}[name]
-        return _elide_classes(lines, [of(x) for x in lines], blobs), blobs
+    if name in RULES:
+        return _elide_classes(lines, [class_of(name, x) for x in lines], blobs), blobs
     if name == "git-diff":
         return _git_diff(lines, blobs), blobs
     if name == "jsonl":

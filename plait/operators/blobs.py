@@ -53,14 +53,19 @@ def verify(refs: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only where the session names none."""
+    """The folder that driver and executors share; a private one only where all run in one process and the session names none."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (path or "file://" + tempfile.mkdtemp(prefix="plait-checkpoint-")).rstrip("/")
+    if not path:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        path = "file://" + tempfile.mkdtemp(prefix="plait-checkpoint-")
+    return path.rstrip("/")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Write and read again in the shared folder."""
-    path = f"{shared_folder(df.sparkSession)}/plait/gc-{uuid.uuid4().hex}"
+def cut(df: DataFrame, label: str = "gc") -> DataFrame:
+    """Write and read again in the shared folder: what follows does not run the past again."""
+    path = f"{shared_folder(df.sparkSession)}/plait/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -71,13 +76,13 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     References follow content hashes and so have no cycles; the rounds number the longest chain. Each round's
     frontier is written, and only the question whether it is empty reaches the driver.
     """
-    seen = _cut(roots.select("id").distinct())
+    seen = cut(roots.select("id").distinct())
     front = seen
     while True:
-        front = _cut(edges.join(front, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        front = cut(edges.join(front, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti"))
         if front.isEmpty():
             return seen
-        seen = _cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
 
 
 def references(store: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify, costs, jsontree, views
+from .blobs import cut
 
 SCHEMA = "doc_id long, kind string, body string, n_bytes long, view_bytes long, refs array<string>, blobs array<struct<id:string,content:binary>>"
 _BLOBS = pa.list_(pa.struct([("id", pa.string()), ("content", pa.binary())]))
@@ -189,15 +190,20 @@ def compress_json(docs: DataFrame, store: DataFrame) -> DataFrame:
     return src.join(known, "doc_id", "left").select("doc_id", "text", "known").mapInArrow(run, SCHEMA)
 
 
-def decompress_json(made: DataFrame, store: DataFrame, depth: int = 32) -> DataFrame:
-    """(doc_id, text): stored subtrees are put back round by round, as they may refer to others. Missing ones give null text."""
-    rows = made.select("doc_id", "body")
-    for _ in range(depth):
+def decompress_json(made: DataFrame, store: DataFrame) -> DataFrame:
+    """(doc_id, text): stored subtrees are put back round by round, as they may refer to others. Missing ones give null text.
+
+    Each round is written and read again, so it runs once. Ids are hashes of contents, so references have no cycles and the rounds end
+    after the longest chain.
+    """
+    rows = cut(made.select("doc_id", "body"), "json")
+    held = store.select("id", F.col("content").cast("string").alias("content"))
+    while True:
         found = _refs_of_bodies(rows)
         if found.isEmpty():
             break
-        held = found.join(store.select("id", F.col("content").cast("string").alias("content")), "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "content")).alias("held"))
-        rows = rows.join(held, "doc_id", "left").mapInArrow(_put_back, "doc_id long, body string")
+        of_doc = found.join(held, "id").groupBy("doc_id").agg(F.collect_list(F.struct("id", "content")).alias("held"))
+        rows = cut(rows.join(of_doc, "doc_id", "left").mapInArrow(_put_back, "doc_id long, body string"), "json")
 
     def run(batches):
         for b in batches:

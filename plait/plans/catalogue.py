@@ -488,7 +488,7 @@ def merged_tools(spark, sf_dir):
 
 
 def _streamed(spark: SparkSession, rows: DataFrame, build, mode: str = "append") -> DataFrame:
-    """Run a stream over the files of ``rows`` to its end and give what it has written."""
+    """Run a stream over the files of ``rows`` to its end and give what it has written. Rows dealt out by key are in one file a key."""
     import uuid
 
     name = f"plait_{uuid.uuid4().hex}"
@@ -511,7 +511,7 @@ def _streamed(spark: SparkSession, rows: DataFrame, build, mode: str = "append")
 def stream_append(spark, sf_dir):
     from ..streaming import streams
 
-    rows = _streamed(spark, versions_of(spark, sf_dir).repartition(1, "key"), streams.append_stream)
+    rows = _streamed(spark, versions_of(spark, sf_dir).repartition("key"), streams.append_stream)
     return rows.groupBy("key").agg(F.max("total_bytes").alias("total_bytes"), F.count(F.lit(1)).alias("chunks"))
 
 
@@ -534,14 +534,14 @@ def stream_counters(spark, sf_dir):
 def stream_session(spark, sf_dir):
     from ..streaming import streams
 
-    return _streamed(spark, versions_of(spark, sf_dir).repartition(1, "key"), streams.session_stream).select("key", "seq", "id", "kind")
+    return _streamed(spark, versions_of(spark, sf_dir).repartition("key"), streams.session_stream).select("key", "seq", "id", "kind")
 
 
 @query(f"WITH {_USAGE} SELECT tool, seq, (sum(is_retrieve) OVER w)::BIGINT AS hits, count(*) OVER w AS n_recent FROM usage WINDOW w AS (PARTITION BY tool ORDER BY seq ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
 def stream_recent_rate(spark, sf_dir):
     from ..streaming import streams
 
-    rows = usage_of(spark, sf_dir).select("tool", "seq", "is_retrieve").repartition(1, "tool")
+    rows = usage_of(spark, sf_dir).select("tool", "seq", "is_retrieve").repartition("tool")
     return _streamed(spark, rows, streams.recent_rate_stream).select("tool", "seq", "hits", "n_recent")
 
 

@@ -72,6 +72,14 @@ def dataset_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("chunks"), F.sum("length").alias("size_bytes"), F.max("modificationTime").alias("updated_at"))
 
 
+def delete_dataset(spark: SparkSession, path: str, name: str) -> bool:
+    """Delete the dataset ``name`` below a path with all its chunks; whether it was there."""
+    if name in ("", ".", "..") or "/" in name:
+        raise ValueError(f"{name!r} is no name of a dataset")
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def download(spark: SparkSession, path: str, date: str | None = None) -> DataFrame:
     """Lines of a dataset; a date prunes partitions."""
     rows = spark.read.text(path)

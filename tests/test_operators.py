@@ -265,3 +265,42 @@ def test_tools(spark):
     ours = spark.createDataFrame([("get", "a"), ("put", "b")], "name string, description string")
     theirs = spark.createDataFrame([("put", "c")], "name string, description string")
     assert sorted(r.name for r in telemetry.merge_tools(ours, theirs).collect()) == ["get", "pb_put", "put"]
+
+
+def test_a_key_with_many_arrow_batches_is_folded_in_order(spark, tmp_path):
+    """25,000 events of one key in falling order, more than one Arrow batch."""
+    rows = spark.range(25_000).selectExpr("'t' AS tool", "24999 - id AS seq", "CAST((24999 - id) % 3 = 0 AS INT) AS is_retrieve").coalesce(1)
+    got = {r.seq: r for r in run_stream(spark, rows, streams.recent_rate_stream, tmp_path, "s_long")}
+    assert [got[k].n_recent for k in (0, 1, 48, 49, 24_999)] == [1, 2, 49, 50, 50]
+    assert all(got[k].hits == sum(x % 3 == 0 for x in range(max(0, k - 49), k + 1)) for k in range(0, 25_000, 997))
+
+
+def test_events_reach_a_sink_in_batches(spark, tmp_path):
+    rows = spark.range(10).selectExpr("id", "'e' AS event")
+    rows.write.parquet(f"{tmp_path}/events")
+    seen = []
+    sink = streams.to_batches_sink(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/events"), lambda df, k: seen.append((k, sorted(r.value for r in df.collect()))), f"{tmp_path}/ck")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    assert sum((v for _, v in seen), []) == sorted(f'{{"id":{k},"event":"e"}}' for k in range(10))
+
+
+def test_json_references_of_any_depth_come_back(spark):
+    """Stored subtrees that refer to one another, forty deep."""
+    store, inner, whole = [], '"leaf"', '"leaf"'
+    for k in range(40):
+        content, whole = f'{{"inner":{inner},"level":{k}}}', f'{{"inner":{whole},"level":{k}}}'
+        store.append((sha(content), content.encode()))
+        inner = f'{{"~x":"{sha(content)}"}}'
+    made = spark.createDataFrame([(1, inner), (2, f'{{"~x":"{"0" * 64}"}}'), (3, None), (4, f'[{inner},1]')], "doc_id long, body string")
+    got = {r.doc_id: r.text for r in views.decompress_json(made, spark.createDataFrame(store, "id string, content binary")).collect()}
+    assert got == {1: whole, 2: None, 3: None, 4: f"[{whole},1]"}
+
+
+def test_a_dataset_is_deleted(spark, tmp_path):
+    for name in ("one", "two"):
+        files.append_dataset(spark.range(3), f"{tmp_path}/{name}")
+    assert files.delete_dataset(spark, str(tmp_path), "one") and not files.delete_dataset(spark, str(tmp_path), "one")
+    assert [r.name for r in files.dataset_metadata(spark, str(tmp_path)).collect()] == ["two"]
+    for name in ("", ".", "..", "a/b"):
+        with pytest.raises(ValueError):
+            files.delete_dataset(spark, str(tmp_path), name)

@@ -93,3 +93,27 @@ def test_formats_keep_signal():
     assert [s[0] for s in views.compress_format(records, "jsonl")[0]] == ["L", "E", "L", "L"]
     npm = "Downloading a\nInstalling b\nadded 5 packages\nnpm warn old"
     assert [s[0] for s in views.compress_format(npm, "package-manager")[0]] == ["E", "L", "L"]
+
+
+def test_progress_lines_may_hold_spaces():
+    for line in ("........F...... [ 72%]", "..s.E", "[100%]", "   ... [ 5%]", "." * 79):
+        assert views.class_of("pytest", line) == "noise", line
+    for line in ("", "   ", "." * 80, "    ....", "FAILED t.py", "3 passed", "> ..."):
+        assert views.class_of("pytest", line) is None, line
+
+
+def test_package_rules_fold_only_ascii():
+    assert views.class_of("package-manager", "DOWNLOADING x") == "progress"
+    assert views.class_of("package-manager", "Collecting warnings") is None
+    assert views.class_of("package-manager", "using cac\u212aed") is None and views.class_of("package-manager", "packages were added now") is None
+
+
+def test_budget_halves_until_it_fits():
+    text = "\n".join(f"line {k} of many that are alike" for k in range(100))
+    sizes = [views.view_bytes(views.compress_budget(text, b)[0]) for b in (10_000, 1200, 600, 300, 1)]
+    assert all(a >= b for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[1] <= 1200
+    least, blobs = views.compress_budget(text, 1)
+    assert [x[0] for x in least] == ["L", "E", "L"] and back(least, blobs) == text
+    for short in ("", "a", "a\nb", "x" * 50):
+        view, blobs = views.compress_budget(short, 0)
+        assert back(view, blobs) == short
