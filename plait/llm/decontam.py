@@ -41,7 +41,7 @@ from .common import discard, materialise, small_batches
 from .hashing import Hasher, TextBatch, mixed
 
 WINDOW = 8
-SHINGLE = 3
+SHINGLE = 5
 #: Logarithm of the bits of the filter that each task holds, at most.
 FILTER_BITS = 26
 #: Parts among which each shingle's occurrences are dealt.
