@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import classify, costs, masking
+from ..functions import classify, costs
 from ..operators import blobs, ledger, lines, sessions, telemetry, tools, views
 from ..sources import files
 
@@ -208,12 +208,6 @@ def anomaly_gaps(spark, sf_dir):
     return lines.gap_groups(lines.explode_lines(docs_of(spark, sf_dir)), F.octet_length("line") > 200)
 
 
-@query()
-def budget_views(spark, sf_dir):
-    made = views.compress_budget(docs_of(spark, sf_dir), 1000)
-    return made.select("doc_id", "n_bytes", "view_bytes", (F.col("view_bytes") <= 1000).alias("within_budget"), F.size("refs").alias("n_refs"))
-
-
 @query(f"WITH {_READ} SELECT doc_id, line_no, line FROM lines WHERE contains(line, 'token')")
 def grep_lines(spark, sf_dir):
     return lines.grep(lines.read_lines(docs_of(spark, sf_dir)), "token")
@@ -279,33 +273,26 @@ def json_columnar(spark, sf_dir):
     return views.json_sizes(e).select("doc_id", "n_bytes", "json_bytes", F.col("keys")[0].alias("first_key"))
 
 
-@query("""SELECT 'k' AS name, count(DISTINCT json_extract_string(props, '$.k')) AS n_distinct, count(*) AS n_rows, count(DISTINCT json_extract_string(props, '$.k')) < count(*) AS encode FROM events""")
-def json_column_dict(spark, sf_dir):
-    """Which columns of the events' JSON table get a dictionary: those with fewer values than rows."""
-    rows = table(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
-    sums = rows.groupBy("name").agg(F.countDistinct("value").alias("n_distinct"), F.count(F.lit(1)).alias("n_rows"))
-    return sums.withColumn("encode", F.col("n_distinct") < F.col("n_rows"))
+#: Events as nested JSON in canonical form: the object and its inner one are large enough to be subtrees.
+_META = """'{"of":"' || event_type || ' event of the table","props":' || replace(props, ' ', '') || '}'"""
+_EVENT = f"""'{{"kind":"' || event_type || '","meta":' || {_META} || '}}'"""
+_SUBTREES = f"sub AS (SELECT event_id, unnest([{_META}, {_EVENT}]) AS subtree FROM events)"
 
 
-@query("SELECT regexp_replace(props, ' ', '', 'g') AS subtree, count(*) AS n_docs, min(event_id) AS first_seen FROM events GROUP BY 1")
-def subtree_frequency(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.regexp_replace("props", " ", "").alias("subtree"))
-    return e.groupBy("subtree").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_seen"))
+def _nested_events(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_id").alias("seq"), F.expr(_EVENT).alias("text"))
 
 
-@query("SELECT event_id AS doc_id, min(event_id) OVER (PARTITION BY regexp_replace(props, ' ', '', 'g')) < event_id AS seen_before FROM events")
-def cross_call_seen(spark, sf_dir):
-    """Whether an earlier event has stored the same JSON object (no least size, as these objects are small)."""
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("event_id").alias("seq"), F.regexp_replace("props", " ", "").alias("text"))
-    first = e.groupBy("text").agg(F.min("seq").alias("first_seq"))
-    return e.join(first, "text").select("doc_id", (F.col("first_seq") < F.col("seq")).alias("seen_before"))
+@query(f"WITH {_SUBTREES} SELECT subtree, count(*) AS n_docs, min(event_id) AS first_seen FROM sub GROUP BY 1")
+def subtree_frequency(spark, sf_dir):
+    rows = views.subtrees(_nested_events(spark, sf_dir), min_bytes=costs.INTERN_MIN_BYTES)
+    return rows.groupBy("subtree").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_seen"))
 
 
-@query("SELECT schema, count(*) AS n_rows FROM (SELECT '{\"k\":\"number\"}' AS schema FROM events) GROUP BY schema")
-def infer_schema(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("props").alias("text"))
-    types = F.to_json(F.map_from_arrays("keys", "types"))
-    return views.json_sizes(e).select(types.alias("schema")).groupBy("schema").agg(F.count(F.lit(1)).alias("n_rows"))
+@query(f"WITH {_SUBTREES} SELECT event_id AS doc_id, sha256(subtree) AS ref, strlen(subtree)::INTEGER AS n_bytes, min(event_id) OVER (PARTITION BY subtree) < event_id AS seen_before FROM sub")
+def cross_call_seen(spark, sf_dir):
+    """Whether an earlier event has stored the same subtree."""
+    return views.cross_call(_nested_events(spark, sf_dir), "seq", min_bytes=costs.INTERN_MIN_BYTES)
 
 
 @query(f"WITH {_VERSIONS} SELECT key, seq, id, prev_id, CASE WHEN prev_id IS NULL THEN 'first' WHEN prev_id = id THEN 'unchanged' ELSE 'changed' END AS status FROM (SELECT key, seq, id, lag(id) OVER (PARTITION BY key ORDER BY seq) AS prev_id FROM v)")
@@ -338,11 +325,6 @@ def append_bytes_avoided(spark, sf_dir):
     return rows.groupBy("key").agg(F.sum("avoided_bytes").alias("avoided_bytes"), F.max("total_bytes").alias("total_bytes"))
 
 
-@query()
-def line_diff_stats(spark, sf_dir):
-    return sessions.diffs(versions_of(spark, sf_dir)).drop("ops")
-
-
 @query("SELECT conv_id AS key, turn AS seq, text AS content FROM conversations")
 def session_roundtrip(spark, sf_dir):
     """Each version again, from the one before and its diff."""
@@ -359,11 +341,6 @@ def cross_key_overlap(spark, sf_dir):
     return sessions.overlaps(d)
 
 
-@query("SELECT 0::BIGINT AS n_masked, count(*) AS n_docs FROM documents WHERE NOT regexp_matches(text, 'ghp_[A-Za-z0-9]{36}|AKIA[A-Z0-9]{16}|(^|[^A-Za-z0-9])(password|secret|token|api_key)=|://[^/]*@')")
-def mask_counts(spark, sf_dir):
-    return docs_of(spark, sf_dir).where("text is not null").select(masking.mask_secrets("text")["n_masked"].alias("n_masked")).groupBy("n_masked").agg(F.count(F.lit(1)).alias("n_docs"))
-
-
 _METRICS = "count_if(is_retrieve = 0)::BIGINT AS compressions, count_if(is_retrieve = 1)::BIGINT AS retrieves, sum(bytes_saved)::BIGINT AS bytes_saved, sum(bytes_retrieved)::BIGINT AS bytes_retrieved, round(count_if(is_retrieve = 1) / count(*), 6) AS retrieve_rate, (sum(bytes_saved) - sum(bytes_retrieved))::BIGINT AS net_saved"
 
 
@@ -567,11 +544,11 @@ def marker_guidance(spark, sf_dir):
     return ledger.guidance(docs_of(spark, sf_dir).where("text is not null"), "token")
 
 
-@query("SELECT 3::BIGINT AS dates, count(DISTINCT user_id) AS sessions, sum(strlen(props))::BIGINT AS size_bytes FROM events")
+@query("SELECT count(DISTINCT ts::DATE) AS dates, count(DISTINCT user_id) AS sessions, sum(strlen(props))::BIGINT AS size_bytes FROM events")
 def path_metadata(spark, sf_dir):
-    """Metadata that paths alone tell: three dates, a session for each user."""
+    """Metadata that paths alone tell: a date for each day, a session for each user."""
     e = table(spark, sf_dir, "events")
-    path = F.concat(F.lit("/harvest/2024-01-0"), (F.col("event_id") % 3 + 1).cast("string"), F.lit("/s"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".jsonl"))
+    path = F.concat(F.lit("/harvest/"), F.date_format("ts", "yyyy-MM-dd"), F.lit("/s"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_id").cast("string"), F.lit(".jsonl"))
     return files.path_metadata(e.select(path.alias("path"), F.octet_length("props").alias("length"), F.col("ts").alias("modificationTime"))).drop("updated_at")
 
 
@@ -609,3 +586,6 @@ def encoded_views_roundtrip(spark, sf_dir):
     """Views as strings with a header, read back and restored."""
     made = views.compress_text(docs_of(spark, sf_dir), threshold=20, head=5, tail=5)
     return views.decompress(views.decode(views.encode(made)), views.stored(made))
+
+
+from . import cases  # noqa: E402, F401  registers its queries here
