@@ -41,7 +41,7 @@ from .common import discard, materialise, small_batches
 from .hashing import Hasher, TextBatch, mixed
 
 WINDOW = 8
-SHINGLE = 5
+SHINGLE = 3
 #: Logarithm of the bits of the filter that each task holds, at most.
 FILTER_BITS = 26
 #: Parts among which each shingle's occurrences are dealt.
@@ -70,6 +70,10 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return mixed(out)
 
 
+def joined(ws: list[bytes]) -> bytes:
+    return b" " + b" ".join(ws) + b" "
+
+
 def prefix_of(n: int, contain: float) -> tuple[int, int]:
     """(words of a shingle, shingles of the prefix) for a window of n words."""
     differ = n - math.ceil(n * contain)
@@ -80,28 +84,33 @@ def prefix_of(n: int, contain: float) -> tuple[int, int]:
 
 
 def windows(bench: DataFrame, window: int, contain: float) -> tuple[DataFrame, DataFrame]:
-    """(win, name) and (win, words, width, prefix, shingles array<long>) of the benchmark's distinct windows."""
-    fields = pa.list_(pa.binary())
+    """(win, name) and (win, words, size, width, prefix, shingles array<(hash, ahead)>) of the benchmark's distinct windows.
+
+    words are joined by spaces, with one at either end; ahead are the bytes of words before the shingle.
+    """
+    fields = pa.list_(pa.struct([("hash", pa.int64()), ("ahead", pa.int32())]))
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ws = words(t.as_py())
                 h = hasher.words(b" ".join(ws), np.empty(0, dtype=np.int64))[2]
                 n = min(window, len(ws))
                 width, prefix = prefix_of(n, contain) if n else (0, 0)
                 each = shingles(h, width).view(np.int64) if n else ()
+                ahead = np.cumsum([0, *(len(w) + 1 for w in ws)])
                 for k in range(len(ws) - n + 1 if n else 0):
-                    for c, v in zip(out, (name, ws[k : k + n], width, prefix, each[k : k + n - width + 1]), strict=True):
+                    inner = [{"hash": int(each[j]), "ahead": int(ahead[j] - ahead[k])} for j in range(k, k + n - width + 1)]
+                    for c, v in zip(out, (name, joined(ws[k : k + n]), n, width, prefix, inner), strict=True):
                         c.append(v)
-            kinds = (pa.string(), fields, pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["name", "words", "width", "prefix", "shingles"])
+            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["name", "words", "size", "width", "prefix", "shingles"])
 
     src = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text"))
-    rows = src.mapInArrow(run, "name string, words array<binary>, width int, prefix int, shingles array<long>")
-    rows = rows.withColumn("win", F.sha2(F.array_join(F.transform("words", lambda w: w.cast("string")), " "), 256))
+    rows = src.mapInArrow(run, "name string, words binary, size int, width int, prefix int, shingles array<struct<hash:long,ahead:int>>")
+    rows = rows.withColumn("win", F.unhex(F.sha2("words", 256)))
     rows = materialise(rows, "windows")
     return rows.select("win", "name").distinct(), rows.drop("name").dropDuplicates(["win"])
 
@@ -157,13 +166,14 @@ def corpus_counts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, hashes: DataFrame, window: int) -> DataFrame:
-    """For each document one row (doc_id, digest, n_words), and one (digest, pos, hash, before, around) for each prefix shingle in it.
+    """For each document one row (doc_id, digest, n_words), and one (digest, pos, hash, before, ahead, around) for each prefix shingle in it.
 
-    around are the words at which a window with the shingle may lie; before counts those ahead of the shingle.
+    around are the words at which a window with the shingle may lie, joined as those of a window are; before and ahead count the
+    words and bytes of it that come before the shingle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Filter(hashes))
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()))
-    names = ["doc_id", "digest", "n_words", "pos", "hash", "before", "around"]
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["doc_id", "digest", "n_words", "pos", "hash", "before", "ahead", "around"]
 
     def run(batches):
         hasher, filters = Hasher(), shared.value
@@ -182,12 +192,13 @@ def occurrences(docs: DataFrame, hashes: DataFrame, window: int) -> DataFrame:
                     lo = np.maximum(batch.first[of], p - (window - width))
                     hi = np.minimum(batch.first[of + 1], p + window)
                     cut = lambda k: batch.folded[batch.start[k] : batch.end[k]]
-                    around = [[cut(k) for k in range(x, y)] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                    cols = [pa.nulls(len(p), pa.int64()), b.column(1).take(pa.array(of)), pa.nulls(len(p), pa.int64()), p - batch.first[of], key.view(np.int64), (p - lo).astype(np.int32), around]
+                    around = [joined([cut(k) for k in range(x, y)]) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    size = np.r_[0, np.cumsum(batch.end - batch.start + 1)]
+                    cols = [pa.nulls(len(p), pa.int64()), b.column(1).take(pa.array(of)), pa.nulls(len(p), pa.int64()), p - batch.first[of], key.view(np.int64), (p - lo).astype(np.int32), (size[p] - size[lo]).astype(np.int32), around]
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
     src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest"), F.col("text").cast("binary").alias("text"))
-    return materialise(src.mapInArrow(run, "doc_id long, digest binary, n_words long, pos long, hash long, before int, around array<binary>"), "occurrences")
+    return materialise(src.mapInArrow(run, "doc_id long, digest binary, n_words long, pos long, hash long, before int, ahead int, around binary"), "occurrences")
 
 
 def digest(text: Column) -> Column:
@@ -204,21 +215,25 @@ def search(docs: DataFrame, bench: DataFrame, window: int = WINDOW, contain: flo
     if not 0 < contain <= 1:
         raise ValueError("contain must lie in (0, 1]")
     names, wins = windows(bench, window, contain)
-    places = wins.select("win", "width", "prefix", F.posexplode("shingles").alias("k", "hash"))
+    places = wins.select("win", "width", "prefix", F.posexplode("shingles").alias("k", "s")).select("win", "width", "prefix", "k", "s.hash", F.col("s.ahead").alias("lead"))
     rarity = corpus_counts(docs, places.select("width", "hash").distinct())
     # A shingle that no document has is the rarest of all: with it, a window cannot occur whole.
     counted = places.join(rarity, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    ordered = counted.groupBy("win", "width", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "hash", "k"))).alias("s"))
-    prefix = ordered.select("win", "width", F.explode(F.slice("s", F.lit(1), F.col("prefix"))).alias("s")).select("win", "width", "s.n", "s.hash", "s.k").where("n > 0")
-    prefix = materialise(prefix.join(wins.select("win", "words"), "win"), "prefix")
+    ordered = counted.groupBy("win", "width", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "hash", "k", "lead"))).alias("s"))
+    prefix = ordered.select("win", "width", F.explode(F.slice("s", F.lit(1), F.col("prefix"))).alias("s")).select("win", "width", "s.n", "s.hash", "s.k", "s.lead").where("n > 0")
+    prefix = materialise(prefix.join(wins.select("win", "words", "size"), "win"), "prefix")
     rows = occurrences(docs, prefix.select("width", "hash").distinct(), window)
     there = rows.where("pos is not null").withColumn("salt", F.pmod(F.xxhash64("digest", "pos"), F.lit(SALTS)))
     each = prefix.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = there.join(each, ["hash", "salt"]).withColumn("size", F.size("words")).withColumn("lo", F.col("before") - F.col("k"))
-    met = met.where((F.col("lo") >= 0) & (F.size("around") >= F.col("lo") + F.col("size")))
-    part = F.slice("around", F.col("lo") + 1, F.col("size"))
-    same = F.size(F.filter(F.zip_with(part, "words", lambda x, y: x == y), lambda x: x))
-    met = met.where(part == F.col("words") if contain == 1 else same >= F.ceil(F.col("size") * F.lit(float(contain))))
+    # A window starts where its place of the shingle says, and has to lie in what is around it.
+    met = there.join(each, ["hash", "salt"]).where("before >= k")
+    if contain == 1:
+        met = met.where(F.substring("around", F.col("ahead") - F.col("lead") + 1, F.length("words")) == F.col("words"))
+    else:
+        split = lambda c: F.split(F.trim(F.col(c).cast("string")), " ")
+        part = F.slice(split("around"), F.col("before") - F.col("k") + 1, F.col("size"))
+        same = F.size(F.filter(F.zip_with(part, split("words"), lambda x, y: x == y), lambda x: x))
+        met = met.where((F.size(part) == F.col("size")) & (same >= F.ceil(F.col("size") * F.lit(float(contain)))))
     hits = materialise(met.select("digest", (F.col("pos") - F.col("k")).alias("lo"), F.col("size").cast("long").alias("size"), "win").distinct(), "hits")
     items = hits.select("digest", "win").distinct().join(names, "win").groupBy("digest").agg(F.sort_array(F.collect_set("name")).alias("items"))
     order = W.partitionBy("digest").orderBy("lo", "hi")
