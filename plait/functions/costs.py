@@ -34,6 +34,7 @@ LEDGER_MIN_BYTES = 2048
 INDEX_LINES = 40
 INDEX_BYTES = 4096
 RECENT_EVENTS = 50
+REPORT_EVERY = 10
 RETRIEVE_RATE = 0.30
 SUGGESTED_MIN_BYTES = 2048
 PROXY_THRESHOLD = 4096

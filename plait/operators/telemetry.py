@@ -49,6 +49,17 @@ def usd(tokens: Column, rate: Column) -> Column:
     return tokens / 1e6 * rate
 
 
+def reports(usage: DataFrame, by: str = "key", every: int = costs.REPORT_EVERY, rate: float = costs.PRICING["default"][0]) -> DataFrame:
+    """One report of ``by`` (a host) after each ``every`` compressions, over all of its compressions so far:
+    (by, calls, original, compressed, saved, saved_pct, tokens_saved, cost_saved_usd). Sending them is left to a sink.
+    """
+    upto = W.partitionBy(by).orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    rows = usage.where("is_retrieve = 0").select(by, F.count(F.lit(1)).over(upto).alias("calls"), F.sum("original_bytes").over(upto).alias("original"), F.sum("compressed_bytes").over(upto).alias("compressed"))
+    rows = rows.where(F.col("calls") % every == 0).withColumn("saved", F.greatest(F.lit(0).cast("long"), F.col("original") - F.col("compressed")))
+    tokens = saved_tokens(F.col("saved"), F.lit(0))
+    return rows.withColumns({"saved_pct": F.round(F.coalesce(F.try_divide(F.col("saved") * 100.0, F.col("original")), F.lit(0.0)), 1), "tokens_saved": F.floor(tokens), "cost_saved_usd": F.round(usd(tokens, F.lit(rate)), 6)})
+
+
 def tool_metrics(events: DataFrame, by: str = "tool", limit: int = 20) -> DataFrame:
     """The ``limit`` most used values of ``by``: compressions, retrieves, bytes, retrieve_rate, net_saved (a top-k report)."""
     retrieved = F.col("is_retrieve") == 1

@@ -364,6 +364,11 @@ def lifetime_savings(spark, sf_dir):
     return telemetry.lifetime(usage_of(spark, sf_dir))
 
 
+@query(f"WITH {_USAGE}, r AS (SELECT key, count(*) OVER w AS calls, (sum(original_bytes) OVER w)::BIGINT AS original, (sum(compressed_bytes) OVER w)::BIGINT AS compressed FROM usage WHERE is_retrieve = 0 WINDOW w AS (PARTITION BY key ORDER BY seq)), s AS (SELECT *, greatest(0, original - compressed)::BIGINT AS saved FROM r WHERE calls % 10 = 0) SELECT *, round(CASE WHEN original = 0 THEN 0 ELSE saved * 100.0::DOUBLE / original END, 1) AS saved_pct, floor(saved / 3.3::DOUBLE)::BIGINT AS tokens_saved, round(saved / 3.3::DOUBLE / 1e6 * 3, 6) AS cost_saved_usd FROM s")
+def telemetry_reports(spark, sf_dir):
+    return telemetry.reports(usage_of(spark, sf_dir))
+
+
 @query(f"WITH {_USAGE}, d AS (SELECT max(ts::DATE) AS today FROM events) SELECT ((SELECT sum(original_bytes) - sum(compressed_bytes) FROM usage) + 500 + sum(floor(value)))::BIGINT AS lifetime_saved, sum(CASE WHEN ts::DATE = today THEN floor(value) ELSE 0 END)::BIGINT AS today_saved FROM events, d")
 def statusline(spark, sf_dir):
     u = usage_of(spark, sf_dir)
