@@ -56,6 +56,8 @@ def make_ledger(spark, a):
 
 
 def gc(spark, a):
+    if not a.days:  # collection is off
+        return
     store = spark.read.parquet(a.input)
     cutoff = int((datetime.datetime.now(datetime.UTC) - datetime.timedelta(days=a.days)).timestamp())
     deleted, report = blobs.gc(store.withColumn("content", F.col("content").cast("string")), cutoff)
@@ -77,6 +79,14 @@ def push(spark, a):
     files.append_dataset(spark.read.json(a.input), a.output)
 
 
+def pull(spark, a):
+    files.download(spark, a.input, a.date).select("value").write.mode("overwrite").text(a.output)
+
+
+def delete(spark, a):
+    print("deleted" if files.delete_dataset(spark, a.input, a.dataset) else "not found")
+
+
 def preview(spark, a):
     rows = spark.read.text(a.input).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "value")
     files.sample(rows, ["file", "pos"], a.n).select("value").show(a.n, truncate=False)
@@ -116,6 +126,8 @@ def parser() -> argparse.ArgumentParser:
     verb("statusline", statusline, counters=(str, None), today=(str, None))
     verb("ingest", ingest, True)
     verb("push", push, True)
+    verb("pull", pull, True, date=(str, None))
+    verb("delete", delete, dataset=(str, ""))
     verb("preview", preview, n=(int, 10))
     verb("datasets", datasets)
     verb("stats", stats, model=(str, "default"), pricing=(str, None))

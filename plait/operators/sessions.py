@@ -42,6 +42,11 @@ def merge_state(stored: DataFrame, ours: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("id", "own").alias("id"))
 
 
+def record(state: DataFrame, seen: DataFrame) -> DataFrame:
+    """The state (key, id) after contents (key, content) were seen: their hashes are kept, and nothing of the contents."""
+    return merge_state(state, seen.select("key", F.sha2(F.col("content").cast("binary"), 256).alias("id")))
+
+
 def changed(state: DataFrame, asked: DataFrame) -> DataFrame:
     """asked (key, hash) with known and changed; hashes are compared in lower case, and one that is no hash gives null."""
     rows = asked.join(state.select("key", "id"), "key", "left")

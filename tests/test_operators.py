@@ -304,3 +304,9 @@ def test_a_dataset_is_deleted(spark, tmp_path):
     for name in ("", ".", "..", "a/b"):
         with pytest.raises(ValueError):
             files.delete_dataset(spark, str(tmp_path), name)
+
+
+def test_hashes_alone_are_recorded(spark):
+    state = spark.createDataFrame([("a", sha("old")), ("b", sha("same"))], "key string, id string")
+    seen = spark.createDataFrame([("a", "new"), ("c", "first")], "key string, content string")
+    assert {tuple(r) for r in sessions.record(state, seen).collect()} == {("a", sha("new")), ("b", sha("same")), ("c", sha("first"))}
