@@ -46,13 +46,15 @@ from .tokens import load_pieces
 #: Words that are sent to every task at most, and the bytes of their spelling.
 HEAD_ENTRIES = 1 << 18
 HEAD_BYTES = 16 << 20
-#: Bytes of distinct words (with ``ENTRY_BYTES`` for each) that a task holds before it hands its counts on.
-HELD_BYTES = 48 << 20
-ENTRY_BYTES = 160
+#: A task hands its counts on when it holds so many distinct words, or has read so many bytes (which bound those of the words).
+HELD_WORDS = 1 << 18
+HELD_BYTES = 64 << 20
 STEPS = 3
 #: Added to the expected count of every piece.
 FLOOR = 0.05
 NEVER = float("-inf")
+#: Least probability that is still worked out by plain products.
+LEAST = 1e-200
 LN10 = math.log(10.0)
 MARK = chr(256)
 
@@ -73,6 +75,7 @@ class Lattice:
             self.auto.add_word(piece, k)
         self.auto.make_automaton()
         self.size, self.log_p = [len(p) for p in pieces], log_p
+        self.p = [math.exp(x) for x in log_p]
 
     def forward(self, text: str, start: float = 0.0, whole: float = NEVER) -> list[float]:
         """Log of the summed weight of all ways to each prefix: from ``start`` by pieces, and by the arc ``whole`` from start to end."""
@@ -92,8 +95,30 @@ class Lattice:
         return self.forward(spelled(word), start, whole)[-1]
 
     def expect(self, word: bytes, n: int, into: list[float]) -> None:
-        """Add the expected use of each piece in n spellings of a word."""
+        """Add the expected use of each piece in n spellings of a word: by plain products for short words, by logarithms where those vanish."""
         text = spelled(word)
+        size, p = self.size, self.p
+        arcs = [(end + 1, k) for end, k in self.auto.iter(text)]
+        alpha = [0.0] * (len(text) + 1)
+        alpha[0] = 1.0
+        for end, k in arcs:
+            a = alpha[end - size[k]]
+            if a:
+                alpha[end] += a * p[k]
+        total = alpha[-1]
+        if total < LEAST:
+            self._expect_logs(text, arcs, n, into)
+            return
+        beta = [0.0] * (len(text) + 1)
+        beta[-1] = n / total
+        for end, k in reversed(arcs):
+            b = beta[end]
+            if b:
+                lo, v = end - size[k], b * p[k]
+                into[k] += alpha[lo] * v
+                beta[lo] += v
+
+    def _expect_logs(self, text: str, arcs: list[tuple[int, int]], n: int, into: list[float]) -> None:
         alpha = self.forward(text)
         total = alpha[-1]
         if total == NEVER:
@@ -101,11 +126,11 @@ class Lattice:
         beta = [NEVER] * (len(text) + 1)
         beta[-1] = 0.0
         size, log_p, log1p, exp = self.size, self.log_p, math.log1p, math.exp
-        for end, k in reversed(list(self.auto.iter(text))):
-            b = beta[end + 1]
+        for end, k in reversed(arcs):
+            b = beta[end]
             if b == NEVER:
                 continue
-            lo = end + 1 - size[k]
+            lo = end - size[k]
             v = b + log_p[k]
             a = alpha[lo]
             if a != NEVER:
@@ -161,10 +186,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 text = t.as_py()
                 if not text:
                     continue
-                into, new = (held if out else train), Counter(text.lower().split())
-                size += sum(len(w) + ENTRY_BYTES for w in new if w not in into)
-                into.update(new)
-                if size > HELD_BYTES:
+                (held if out else train).update(text.lower().split())
+                size += len(text)
+                if size > HELD_BYTES or len(held) + len(train) > HELD_WORDS:
                     yield from hand_on()
                     size = 0
         yield from hand_on()

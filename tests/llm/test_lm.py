@@ -51,6 +51,20 @@ def test_expected_counts_match_listing():
         assert math.isclose(e, 3 * want[p] / total, abs_tol=1e-9)
 
 
+def test_long_words_are_expected_by_logarithms():
+    pieces = small()
+    names = list(pieces)
+    lattice = lm.Lattice(names, [math.log(w) for w in pieces.values()])
+    for word in (b"ab" * 20, b"ab" * 2000):
+        plain, logs = [0.0] * len(names), [0.0] * len(names)
+        lattice.expect(word, 2, plain)
+        text = lm.spelled(word)
+        lattice._expect_logs(text, [(end + 1, k) for end, k in lattice.auto.iter(text)], 2, logs)
+        assert np.allclose(plain, logs, rtol=1e-9)
+        # Pieces cover the word.
+        assert math.isclose(sum(e * len(p) for e, p in zip(plain, names, strict=True)), 2 * len(text), rel_tol=1e-9)
+
+
 def test_spellings_are_a_proper_distribution():
     pieces = small()
     lattice = lm.Lattice(list(pieces), [math.log(w) for w in pieces.values()])
