@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import materialise, small_batches
+from .common import discard, materialise, small_batches
 
 SEED = 42
 #: Five blocks of the 64 bits: (first bit, width).
@@ -246,14 +246,16 @@ def components(edges: DataFrame) -> DataFrame | None:
     pointer jumping and contracts the graph, so rounds grow with the logarithm
     of the graph and every step is a join or a map-side combined minimum.
     """
-    cur, maps = edges.where("a <> b"), []
+    cur, graph, maps = edges.where("a <> b"), None, []
     while not cur.isEmpty():
         both = cur.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(cur.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        up = materialise(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")), "hooks")
+        held = materialise(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("root")), "hooks")
+        up = held
         while True:
             nxt = up.alias("x").join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", "root", "top")
             nxt = materialise(nxt, "jumps")
-            moved = not nxt.where("root <> top").isEmpty()
+            discard(held)
+            moved, held = not nxt.where("root <> top").isEmpty(), nxt
             up = nxt.select("node", F.col("top").alias("root"))
             if not moved:
                 break
@@ -262,6 +264,9 @@ def components(edges: DataFrame) -> DataFrame | None:
         tops_b = up.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         nxt = cur.join(tops_a, "a").join(tops_b, "b").select("ra", "rb").where("ra <> rb")
         cur = materialise(nxt.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "graph")
+        if graph is not None:
+            discard(graph)
+        graph = cur
     if not maps:
         return None
     out = maps[0]
@@ -301,14 +306,16 @@ def keep_rows(docs: DataFrame, keyed: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so an id that is given twice keeps each of its texts that is a component's choice.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    keep = keyed.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__plait_id"), F.col("k.text_hash").alias("__plait_text"))
-    keep = materialise(keep.distinct(), "keep")
+    each = keyed.groupBy("label", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("bare"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"), F.col("n").alias("n"))
+    keep = each.groupBy("label").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("__plait_id"), F.col("k.text_hash").alias("__plait_text"), F.col("k.n").alias("__plait_n"))
+    keep = materialise(keep, "keep")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__plait_id")) & text_key(F.col("text")).eqNullSafe(F.col("__plait_text"))
-    out = docs.join(keep, same, "left_semi")
-    # One doc_id with one text on several rows: they are told apart by nothing, so one of them stays.
-    repeated = not keyed.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+    # One doc_id with one text on several rows: they are told apart by nothing, so any one of them stays.
+    repeated = keep.where("__plait_n > 1")
+    if repeated.isEmpty():
+        return docs.join(keep, same, "left_semi")
+    return docs.join(keep.where("__plait_n = 1"), same, "left_semi").union(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
