@@ -89,26 +89,28 @@ def windows(bench: DataFrame, window: int, contain: float) -> tuple[DataFrame, D
     words are joined by spaces, with one at either end; ahead are the bytes of words before the shingle.
     """
     fields = pa.list_(pa.struct([("hash", pa.int64()), ("ahead", pa.int32())]))
+    kinds = (pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), fields)
+    names = ["name", "words", "size", "width", "prefix", "shingles"]
 
     def run(batches):
         hasher = Hasher()
         for b in batches:
-            out: list[list] = [[] for _ in range(6)]
             for name, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ws = words(t.as_py())
+                if not ws:
+                    continue
                 h = hasher.words(b" ".join(ws), np.empty(0, dtype=np.int64))[2]
                 n = min(window, len(ws))
-                width, prefix = prefix_of(n, contain) if n else (0, 0)
-                each = shingles(h, width).view(np.int64) if n else ()
+                width, prefix = prefix_of(n, contain)
+                each = shingles(h, width).view(np.int64)
                 ahead = np.cumsum([0, *(len(w) + 1 for w in ws)])
-                for k in range(len(ws) - n + 1 if n else 0):
-                    inner = [{"hash": int(each[j]), "ahead": int(ahead[j] - ahead[k])} for j in range(k, k + n - width + 1)]
-                    for c, v in zip(out, (name, joined(ws[k : k + n]), n, width, prefix, inner), strict=True):
-                        c.append(v)
-            kinds = (pa.string(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["name", "words", "size", "width", "prefix", "shingles"])
-
-    src = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text"))
+                for lo in range(0, len(ws) - n + 1, ROWS):
+                    starts = range(lo, min(lo + ROWS, len(ws) - n + 1))
+                    inner = [[{"hash": int(each[j]), "ahead": int(ahead[j] - ahead[k])} for j in range(k, k + n - width + 1)] for k in starts]
+                    cols = ([name] * len(starts), [joined(ws[k : k + n]) for k in starts], *([x] * len(starts) for x in (n, width, prefix)), inner)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=names)
+
+    src = small_batches(bench).select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"), F.col("text").cast("binary").alias("text"))
     rows = src.mapInArrow(run, "name string, words binary, size int, width int, prefix int, shingles array<struct<hash:long,ahead:int>>")
     rows = rows.withColumn("win", F.unhex(F.sha2("words", 256)))
     rows = materialise(rows, "windows")
@@ -121,7 +123,7 @@ class Filter:
     def __init__(self, hashes: DataFrame):
         """hashes: (width, hash long). The bits are combined by the executors; at most 2^(FILTER_BITS - 6) words come back."""
         told = hashes.agg(F.count(F.lit(1)).alias("n"), F.collect_set("width").alias("widths")).first()
-        self.bits = min(FILTER_BITS, max(16, (8 * told.n).bit_length()))
+        self.bits = min(FILTER_BITS, max(16, (told.n << 10).bit_length()))
         self.widths = sorted(told.widths)
         slot = F.shiftrightunsigned("hash", 64 - self.bits)
         rows = hashes.select(F.shiftright(slot, 6).alias("at"), slot.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
