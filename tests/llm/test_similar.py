@@ -84,3 +84,61 @@ def test_rows_are_told_apart_by_id_and_text(spark):
 
 def test_empty_table(spark):
     assert similar.keep_similar(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def sets_at(rng, first, second, common):
+    u = rng.integers(0, 1 << 63, first + second - common, dtype=np.uint64)
+    return np.unique(u[:first]), np.unique(u[first - common :])
+
+
+def test_simhash_fingerprints_and_pivot_distances_match_brute_force():
+    sets = [np.empty(0, dtype=np.uint64), *sets_at(np.random.default_rng(2), 9, 700, 4)]
+    vote = np.array([similar.votes(s) for s in sets])
+    assert (vote[0] == 0).all()
+    again = sum(similar.votes(sets[2][k : k + 1]) for k in range(len(sets[2])))  # one hash votes 1 or -1 for each bit
+    assert (again == vote[2]).all() and set(similar.votes(sets[2][:1]).ravel().tolist()) == {-1, 1}
+    for v, fp in zip(vote, similar.fingerprints(vote), strict=True):
+        assert [int(x) >> k & 1 for x in fp for k in range(64)] == [int(x > 0) for x in v[0]]
+    lead = similar.pivot_leads(vote)
+    for k, p, r, c in ((1, 0, 0, 0), (1, 3, 12, 511), (2, 1, 5, 37), (2, 2, 7, 300)):
+        signed = [float(s) * (-1) ** (c & bit).bit_count() for bit, s in enumerate(similar._SIGNS[p, r])]
+        weighted = sum(abs(int(x)) for x, s in zip(vote[k, p], signed, strict=True) if x * s < 0)  # the distance, bits weighing as their votes
+        assert lead[k, p, r, c] == np.abs(vote[k, p]).sum() - 2 * weighted
+
+
+def test_pairs_at_the_limit_share_a_bucket_within_the_radius():
+    rng = np.random.default_rng(9)
+    for first, second, common in ((4, 5, 4), (9, 9, 8), (18, 18, 16), (40, 50, 40), (90, 90, 80)):
+        vote = np.array([[similar.votes(s) for s in sets_at(rng, first, second, common)] for _ in range(60)])
+        for a, b in vote:
+            prints, keys = similar.fingerprints(np.array([a, b])), similar.bucket_keys(np.array([a, b])).reshape(2, -1, 4)
+            assert similar.apart(prints[:1], prints[1])[0] <= similar.radius_of(80)
+            assert (keys[0][:, :, None] == keys[1][:, None, :]).any()
+
+
+def test_the_pivot_table_loses_no_pair():
+    rng = np.random.default_rng(3)
+    for n in (2, 5, 30):
+        for radius in (60, 160, 225, 235):
+            prints, label = rng.integers(-(1 << 63), 1 << 63, (n, 8)), rng.integers(0, 4, n)
+            prints[n // 2] = prints[0] ^ np.array([(1 << 40) - 1, *[1] * 7])
+            want = any(label[i] != label[j] and similar.apart(prints[i : i + 1], prints[j])[0] <= radius for i in range(n) for j in range(i))
+            assert similar.partnered(prints, label, radius) == want
+
+
+def test_no_pair_beyond_the_simhash_radius_is_linked(spark, monkeypatch):
+    texts = [t for t in documents()[:60] if t]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA)
+    monkeypatch.setattr(similar, "radius_of", lambda percent: -1)
+    kept = dict(corpus_pipeline.STAGES)["simhash near-dedup"](spark, df, "").count()
+    assert kept == len({shingles(t) for t in texts}) > len(set(brute(texts)))
+
+
+def test_buckets_are_read_over_batches():
+    import pyarrow as pa
+
+    rows = [(1, 4), (2, 1), (2, 5), (2, 9), (3, 2), (4, 3), (4, 8)]
+    for step in range(1, 8):
+        parts = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + step]], "node": [n for _, n in rows[i : i + step]]}) for i in range(0, 7, step)]
+        got = sorted(r for b in similar._met(parts) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        assert got == [(2, 1, 1), (2, 5, 1), (2, 9, 1), (4, 3, 3), (4, 8, 3)]
