@@ -11,8 +11,10 @@ all), and under each pattern every ``MEET`` of the ``NEAREST`` pivots name a buc
 similarity 0.8 shares a bucket under one pattern with probability 0.205 (measured), so it is missed by all 52 with 7e-6; more alike texts less.
 
 A bucket's smallest node is its pivot: nodes whose fingerprint is more than ``radius`` bits from it are discarded, the others verified by Jaccard, which joins the close
-copies of a hot group by one pair a node. Buckets whose nodes are then still of several components, three at least, are *open*: there all pairs of different components
-are looked at, in cells of two chunks of at most about ``CELL_BYTES``. A table of distances to fingerprints of the cell discards pairs whose rows differ by more than the
+copies of a hot group by one pair a node. Buckets whose other nodes are then still of several components are *open*: there all pairs of different components
+are looked at. The texts of a hot group share most of their buckets, so the nodes of large buckets that have nodes in common are a *group*, and where that is fewer pairs than its open buckets hold
+one by one, the whole group is looked at in their place, each node once. Of a bucket or group that is more than a chunk of about ``CELL_BYTES``, the chunks of its largest component meet those
+of the rest, and those of the rest each other, in cells of two. A table of distances to fingerprints of the cell discards pairs whose rows differ by more than the
 radius in any coordinate (triangle inequality), and the exact distance discards more. Cells where a pair is left are compared by Jaccard. So every pair that shares a bucket is verified, too far apart or
 known to be connected, and no bucket is ever gathered whole or written out as pairs.
 
@@ -22,7 +24,7 @@ Defined cases. Null and blank texts are one node, the empty set. Fewer words tha
 from __future__ import annotations
 
 import math
-from itertools import combinations, repeat
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,8 @@ PIVOTS = 16
 #: Shingle hashes of one chunk of an open bucket, in bytes, and its nodes at most.
 CELL_BYTES = 4 << 20
 CELL_ROWS = 1024
+#: Nodes beside its pivot up to which a bucket is small.
+SMALL_BUCKET = 16
 #: Shingles whose bits are counted at a time, in bytes; and texts whose tables are held at a time.
 CHUNK = 255
 TABLES = 16
@@ -201,19 +205,61 @@ def _by_cell(batches, n: int):
 CELL = ["key", "lo", "hi"]
 
 
+def _groups(buckets: DataFrame) -> DataFrame | None:
+    """(node, root) of the nodes of large buckets: buckets that have a node in common are of one group. None without a large bucket."""
+    return components(buckets.where("large").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+
+
+def _chunks(rows: Column, total: Column) -> Column:
+    return F.greatest(F.ceil(rows / F.lit(CELL_ROWS)), F.ceil(total * 8 / F.lit(CELL_BYTES)), F.lit(1)).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """(key, lo, hi, node, label) of rows (key, node, label, rows, total, most): each node once in each cell it is in.
+
+    What fits one chunk is one cell. Else pairs within the largest component are connected already, so its chunks, numbered first, meet only those of the rest.
+    """
+    main = F.col("label") == F.col("most.label")
+    fits = _chunks(F.col("rows"), F.col("total")) == 1
+    of_main = _chunks(F.col("most.n"), F.col("most.total"))
+    of_rest = _chunks(F.col("rows") - F.col("most.n"), F.col("total") - F.col("most.total"))
+    rows = rows.select("key", "node", "label", main.alias("main"), fits.alias("fits"), of_main.alias("of_main"), of_rest.alias("of_rest"))
+    at = F.when(F.col("main"), F.pmod(F.xxhash64("node"), F.col("of_main"))).otherwise(F.col("of_main") + F.pmod(F.xxhash64("node"), F.col("of_rest")))
+    rows = rows.withColumn("mine", F.when(F.col("fits"), 0).otherwise(at).cast("int"))
+    last = F.col("of_main") + F.col("of_rest") - 1
+    others = F.when(F.col("main"), F.sequence("of_main", last)).otherwise(F.array_remove(F.sequence(F.lit(0), last), F.col("mine")))
+    rows = rows.withColumn("other", F.explode(F.when(F.col("fits"), F.array(F.lit(0))).otherwise(others)))
+    return rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label")
+
+
 def _open_cells(buckets: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """(key, lo, hi, node, label): open buckets, each node once in each pair of chunks it is in; None without such a bucket."""
-    named = buckets.join(labels, "node")
-    many = named.join(nodes.select("node", "size"), "node").groupBy("key")
-    many = many.agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("size").alias("total"))
-    q = F.greatest(F.ceil(F.col("rows") / F.lit(CELL_ROWS)), F.ceil(F.col("total") * 8 / F.lit(CELL_BYTES))).cast("int")
-    # The one pair of a bucket of two has been looked at.
-    many = materialise(many.where("lo <> hi and rows > 2").select("key", q.alias("q")), "open")
+    """(key, lo, hi, node, label): the cells of open buckets and groups; None without an open bucket.
+
+    ``buckets`` (key, node, first, large) leaves out each bucket's pivot, all of whose pairs have been looked at. A group goes by the key of one of its buckets.
+    """
+    groups = _groups(buckets)
+    known = labels.join(nodes.select("node", "size"), "node")
+    known = known.withColumn("root", F.lit(None).cast("long")) if groups is None else known.join(groups, "node", "left")
+    known = materialise(known.select("node", "label", "size", "root"), "known")
+    counts = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")]
+    sums = [F.sum("n").alias("rows"), F.sum("total").alias("total"), F.max(F.struct("n", "total", "label")).alias("most")]
+    named = buckets.select("key", "node", "large").join(known, "node")
+    each = named.groupBy("key", "large", "label").agg(*counts, F.min("root").alias("low"), F.max("root").alias("high"), F.count("root").alias("rooted"))
+    each = each.groupBy("key", "large").agg(*sums, F.min("low").alias("low"), F.max("high").alias("high"), F.sum("rooted").alias("rooted"))
+    many = materialise(each.where("rows > most.n"), "open")
     if many.isEmpty():
+        discard(known, many)
         return None
-    rows = named.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("q")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    return rows.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "label")
+    of_group = known.where("root is not null").groupBy("root", "label").agg(*counts).groupBy("root").agg(*sums)
+    apart_at = many.where("large").groupBy(F.col("low").alias("root")).agg(F.sum(F.expr("rows * (rows - most.n)")).alias("pairs"), F.min("key").alias("key"))
+    whole = materialise(of_group.join(apart_at, "root").where("rows * (rows - most.n) <= pairs"), "groups")
+    inside = (F.col("low") == F.col("high")) & (F.col("rooted") == F.col("rows"))
+    alone = many.join(whole.select(F.col("root").alias("low"), F.lit(True).alias("held")), "low", "left").where(~F.coalesce(inside & F.col("held"), F.lit(False)))
+    columns = ["key", "node", "label", "rows", "total", "most"]
+    rows = named.select("key", "node", "label").join(alone.select("key", "rows", "total", "most"), "key").select(columns)
+    cells = materialise(_dealt(rows.unionByName(known.join(whole, "root").select(columns))), "cells")
+    discard(known, many, whole)
+    return cells
 
 
 def _alive(cells: DataFrame, nodes: DataFrame, radius: int) -> DataFrame:
@@ -255,6 +301,26 @@ def _met(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[key[~new], key[second]]), pa.array(np.r_[node[~new], firsts[second]]), pa.array(np.r_[firsts[~new], firsts[second]])], names=["key", "node", "first"])
 
 
+def _beside(batches):
+    """(key, node, first, large) of the nodes beside their bucket's pivot, of what ``_met`` gives: large in buckets of more than ``SMALL_BUCKET`` of them."""
+    held, goes_on = np.empty((3, 0), dtype=np.int64), -1
+    for b in chain(batches, (None,)):
+        if b is not None:
+            rows = np.stack([b.column(k).to_numpy() for k in range(3)])
+            held = np.concatenate([held, rows[:, rows[1] != rows[2]]], axis=1)
+        key = held[0]
+        if not len(key):
+            continue
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[start, len(key)])
+        large = (count > SMALL_BUCKET) | (key[start] == goes_on)
+        # The last bucket waits for the next rows, unless it is known to be large.
+        end = len(key) if b is None or large[-1] else start[-1]
+        goes_on = key[-1] if large[-1] else -1
+        yield pa.RecordBatch.from_arrays([*map(pa.array, held[:, :end]), pa.array(np.repeat(large, count)[:end])], names=["key", "node", "first", "large"])
+        held = held[:, end:]
+
+
 def _bits_apart(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(BITS // 64)), F.lit(0))
 
@@ -282,7 +348,8 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     rows = signed.groupBy("node").agg(F.min("keys").alias("keys")).select("node", F.posexplode("keys").alias("k", "key"))
     pattern = F.floor(F.col("k") / F.lit(len(_TOGETHER))).cast("long")
     rows = rows.select((pattern * (1 << _NUMBER * MEET) + F.col("key")).alias("key"), "node")
-    buckets = materialise(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_met, "key long, node long, first long"), "buckets")
+    met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda batches: _beside(_met(batches)), "key long, node long, first long, large boolean")
+    buckets = materialise(met, "buckets")
     nodes = materialise(signed.groupBy("node").agg(F.min("text_hash").alias("text_hash"), F.min("size").alias("size"), F.min("print").alias("print")), "nodes")
     named = materialise(signed.select("doc_id", "text_hash", "node"), "named")
     discard(signed)
@@ -293,7 +360,7 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         texts = texts.join(seen, "text_hash").groupBy("node").agg(F.first("text").alias("text"))
         return materialise(texts.select("node", "text").mapInArrow(sets_of, "node long, shingles array<long>"), "sets")
 
-    pairs = buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = buckets.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("print").alias("pa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("print").alias("pb")), "b")
     pairs = materialise(pairs.where(_bits_apart("pa", "pb") <= radius).select("a", "b"), "pairs")
     sets = sets_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
@@ -306,14 +373,14 @@ def grouped(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
         return nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"))
 
     label = materialise(labels(edges), "labels")
-    cells = _open_cells(buckets.select("key", "node"), label, nodes)
+    cells = _open_cells(buckets, label, nodes)
     if cells is not None:
         alive = _alive(cells, nodes, radius)
-        cells = cells.join(alive, CELL)
-        rest = sets_for(cells.select("node").join(sets, "node", "left_anti"))
-        more = _open_edges(cells, sets.unionByName(rest), percent)
+        live = cells.join(alive, CELL)
+        rest = sets_for(live.select("node").join(sets, "node", "left_anti"))
+        more = _open_edges(live, sets.unionByName(rest), percent)
         first, label = label, materialise(labels(edges.unionByName(more)), "labels")
-        discard(first, alive, rest, more)
+        discard(first, cells, alive, rest, more)
     discard(buckets, nodes, pairs, sets, edges)
     # Copies share a node: the side of the documents may be hot, and is what a skewed join splits.
     return named.join(label, "node").select("doc_id", "text_hash", "label")

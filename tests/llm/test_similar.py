@@ -142,3 +142,78 @@ def test_buckets_are_read_over_batches():
         parts = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + step]], "node": [n for _, n in rows[i : i + step]]}) for i in range(0, 7, step)]
         got = sorted(r for b in similar._met(parts) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
         assert got == [(2, 1, 1), (2, 5, 1), (2, 9, 1), (4, 3, 3), (4, 8, 3)]
+
+
+def hot_group(n):
+    """Near copies of one text, each with up to six words changed."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    out = []
+    for _ in range(n):
+        near = list(base)
+        for at in rng.sample(range(len(near)), rng.randint(1, 6)):
+            near[at] = f"changed{rng.random()}"
+        out.append(" ".join(near))
+    return out
+
+
+def cells_of(spark, monkeypatch, texts):
+    """The rows in cells and the classes of texts."""
+    seen, cells = [], similar._open_cells
+
+    def counted(*args):
+        out = cells(*args)
+        seen.append(out.count() if out is not None else 0)
+        return out
+
+    monkeypatch.setattr(similar, "_open_cells", counted)
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], SCHEMA)
+    label = {r.doc_id: r.label for r in similar.grouped(df).collect()}
+    monkeypatch.setattr(similar, "_open_cells", cells)
+    low = {}
+    for k in sorted(label):
+        low.setdefault(label[k], k)
+    return seen[0], [low[label[k]] for k in range(len(texts))]
+
+
+def test_a_hot_group_is_in_its_cells_once(spark, monkeypatch):
+    texts = hot_group(160) + documents()[:40]
+    want = brute(texts)
+    assert 20 < len(set(want)) < len(texts) - 20
+    rows, got = cells_of(spark, monkeypatch, texts)
+    assert got == want
+    assert rows < 8 * len(texts)  # a cell for each bucket made 10,651 rows
+    monkeypatch.setattr(similar, "CELL_ROWS", 7)
+    assert cells_of(spark, monkeypatch, texts)[1] == want
+    monkeypatch.setattr(similar, "SMALL_BUCKET", 10**9)  # no group
+    assert cells_of(spark, monkeypatch, texts)[1] == want
+
+
+def test_chunks_of_one_component_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(similar, "CELL_ROWS", 50)
+    for connected, others in ((1000, 10), (2000, 10), (120, 115), (30, 20), (40, 11)):
+        label = [7] * connected + list(range(100, 100 + others))
+        most = f"named_struct('n', {connected}L, 'total', {connected}L, 'label', 7L)"
+        rows = spark.createDataFrame(list(enumerate(label)), "node long, label long")
+        rows = rows.selectExpr("5L as key", "node", "label", f"{len(label)}L as rows", f"{len(label)}L as total", f"{most} as most")
+        cells = {}
+        dealt = similar._dealt(rows).collect()
+        for r in dealt:
+            cells.setdefault((r.lo, r.hi), []).append(r.node)
+        assert len(dealt) == len({(r.lo, r.hi, r.node) for r in dealt})
+        if others == 10:
+            assert len(dealt) == connected + 10 * connected // 50  # in proportion to the component, not to its square
+        met = {(min(x, y), max(x, y)) for nodes in cells.values() for x in nodes for y in nodes if label[x] != label[y]}
+        assert met == {(x, y) for y in range(connected, len(label)) for x in range(y)}
+
+
+def test_large_buckets_are_known_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(similar, "SMALL_BUCKET", 2)
+    rows = [(1, 4), (2, 1), (2, 5), (2, 9), (3, 2), (4, 3), (4, 8), (4, 11), (4, 12), (4, 13), (5, 1), (6, 2), (6, 7)]
+    for step in range(1, 14):
+        parts = [pa.RecordBatch.from_pydict({"key": [k for k, _ in rows[i : i + step]], "node": [n for _, n in rows[i : i + step]]}) for i in range(0, 13, step)]
+        got = sorted(r for b in similar._beside(similar._met(parts)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        assert got == [(2, 5, 1, False), (2, 9, 1, False), *((4, n, 3, True) for n in (8, 11, 12, 13)), (6, 7, 2, False)]
+    assert list(similar._beside([])) == []
