@@ -59,25 +59,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def content_class(text: Column) -> Column:
+def content_class(text: Column, indent: str = r"\s", long_hex: bool = True) -> Column:
     """json, logs, code, hex or prose; null is prose like the empty text.
 
     Only the first 4096 bytes are looked at for logs, code and hex, which is the rule itself; a cut inside a
-    character leaves nothing to look at for logs and code.
+    character leaves nothing to look at for logs and code. ``indent`` is what may stand before a date; without
+    ``long_hex`` a text of more than 4096 bytes is never hex.
     """
     text = F.coalesce(text, F.lit(""))
     sample = F.substring(F.encode(text, "utf-8"), 1, costs.SAMPLE_BYTES)
     opener = text.rlike(r'\A[ \t\n\f\r]*(\{|\[["{\[ntf0-9-])')
 
     def of_seen(seen: Column) -> Column:
-        dated = F.exists(first_lines(seen, 10), lambda x: x.rlike(r"\A\s*([0-9]{4}-|[0-9]{10})"))
+        dated = F.exists(first_lines(seen, 10), lambda x: x.rlike(rf"\A{indent}*([0-9]{{4}}-|[0-9]{{10}})"))
         return F.when(contains_any(seen, LOG_MARKERS), "logs").when(dated, "logs").when(contains_any(seen, CODE_MARKERS), "code")
 
     def of_bytes(single: Column) -> Column:
         """One character for each byte of the sample that is no white space."""
         hexed = F.length(F.regexp_replace(single, r"[^0-9A-Fa-f+/=_-]+", ""))
         # hex when hexed / all >= 0.7, in whole numbers
-        return F.when((F.length(single) > 0) & (hexed * 10 >= F.length(single) * 7), "hex").otherwise("prose")
+        said = (F.length(single) > 0) & (hexed * 10 >= F.length(single) * 7)
+        return F.when(said if long_hex else said & (F.octet_length(text) <= costs.SAMPLE_BYTES), "hex").otherwise("prose")
 
     told = let(F.when(F.is_valid_utf8(sample), F.decode(sample, "utf-8")).otherwise(F.lit("")), of_seen)
     rest = let(F.regexp_replace(F.decode(sample, "iso-8859-1"), r"[ \t\n\f\r]+", ""), of_bytes)

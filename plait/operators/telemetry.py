@@ -27,9 +27,10 @@ def with_rates(rows: DataFrame, rates: DataFrame, model: str = "model") -> DataF
     return joined.withColumns({"input_per_mtok": F.coalesce("input_per_mtok", F.lit(i).cast("double")), "cache_read_per_mtok": F.coalesce("cache_read_per_mtok", F.lit(c).cast("double"))})
 
 
-def token_estimate(docs: DataFrame) -> DataFrame:
-    """(lang, class, n_docs, n_bytes, tokens): sizes and estimated tokens by language and content class."""
-    rows = docs.select("lang", classify.content_class(F.col("text")).alias("class"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("b"))
+def token_estimate(docs: DataFrame, klass: Column | None = None) -> DataFrame:
+    """(lang, class, n_docs, n_bytes, tokens): sizes and estimated tokens by language and content class (``klass``, else that of the text)."""
+    klass = classify.content_class(F.col("text")) if klass is None else klass
+    rows = docs.select("lang", klass.alias("class"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("b"))
     sums = rows.groupBy("lang", "class").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("b").alias("n_bytes"))
     return sums.withColumn("tokens", F.round(classify.estimated_tokens(F.col("n_bytes"), F.col("class")), 3))
 

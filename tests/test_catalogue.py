@@ -48,6 +48,16 @@ def test_query(spark, duck, name):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_token_estimate_on_odd_texts(spark, tmp_path):
+    texts = ["Ea " * 2000, "a" * 4096, "a" * 4097, "é" + "Dede " * 900, "\x0b2024-01-01", "\x0b1234567890", "\f 2024-01-01", "x\n\r2024-", "\x0b{", None, "", "ab" * 2047 + "aé INFO: cut inside a character"]
+    spark.createDataFrame([(k, t, str(k)) for k, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(catalogue.ORACLE_SQL["token_estimate"]).fetchall()}
+    got = {r.lang: (r["class"], r.n_docs, r.n_bytes, r.tokens) for r in __spark_entry__.queries()["token_estimate"](spark, str(tmp_path)).collect()}
+    assert got == want and {want[str(k)][0] for k in (0, 2, 3)} == {"prose"} and want["1"][0] == "hex"
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"lang", "class", "n_docs", "n_bytes", "tokens"}
