@@ -28,6 +28,8 @@ HEAD_LINES = 15
 TAIL_LINES = 10
 DIFF_CELLS = 16_000_000
 CROSS_KEY_MIN_LINES = 5
+#: Documents that hold a line pair with one another up to this number of them.
+COMMON_HOLDERS = 64
 INTERN_MIN_BYTES = 32
 CROSS_CALL_MIN_BYTES = 100
 LEDGER_MIN_BYTES = 2048

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import costs, linediff, views
+from . import blobs
 
 
 def by_key():
@@ -152,32 +153,69 @@ def cross_key_views(docs: DataFrame) -> DataFrame:
     return rows.select("key", "other", "n_bytes", size.cast("long").alias("view_bytes"), F.col("v.ops").alias("ops")).where("view_bytes < n_bytes")
 
 
-def overlaps(docs: DataFrame, min_lines: int = costs.CROSS_KEY_MIN_LINES) -> DataFrame:
+def _digest(text: Column) -> Column:
+    """The first 16 bytes of the SHA-256: contents and lines travel as these."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
+def _in_common(probes: DataFrame, reached: DataFrame, mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(asks, other, overlap): the copies of all lines in common, for asks whose probes lead to an earlier other.
+
+    probes: (asks, before, line), mine: (asks, line, copies), reached and theirs: (other, line), the lines that probes may hold
+    and all. ``before`` bounds the other's head.
+    """
+    pairs = probes.join(reached, "line").where(F.col("other.head") < F.col("before")).select("asks", "other").distinct()
+    return pairs.join(mine, "asks").join(theirs, ["other", "line"]).groupBy("asks", "other").agg(F.sum("copies").alias("overlap"))
+
+
+def overlaps(docs: DataFrame, min_lines: int = costs.CROSS_KEY_MIN_LINES, common: int = costs.COMMON_HOLDERS) -> DataFrame:
     """(key, other, n_lines, overlap): the earlier document that holds most of a document's lines, a third at least.
 
     docs: (key, seq, content); null content has no lines. Ties go to the earliest, then the smallest key. Copies of a content share
     their first document, so only distinct contents meet. A content of n lines needs a partner for ceil(n / 3) of them, so it
     shares one of its *rarest* lines with each partner: the lines that very many hold, and whose copies together are fewer than
     that, propose no pair. Pairs that meet are counted over all lines.
+
+    Lines of more than ``common`` holders do not pair documents. A partner that shares nothing else is told by the set of its common
+    lines alone, and the earliest document of each such set stands for all of them; the sets, which are far fewer, meet instead. So
+    pairs grow with the rows times ``common``, and beside that with the different sets. ``common`` changes the work and no result.
     """
-    rows = docs.where("content is not null").withColumn("id", F.sha2(F.col("content").cast("binary"), 256))
-    own = rows.groupBy("id").agg(F.min(F.struct("seq", "key")).alias("head"), F.first("content").alias("content"))
-    lines = own.select("id", "head", F.explode(F.split("content", "\n", -1)).alias("line")).groupBy("id", "head", "line").agg(F.count(F.lit(1)).cast("long").alias("copies"))
-    held = lines.groupBy("line").agg(F.count(F.lit(1)).alias("holders"))
-    ranked = lines.join(held, "line")
-    of_doc = W.partitionBy("id")
-    rest = F.sum("copies").over(of_doc.orderBy(F.desc("holders"), F.desc("line")).rowsBetween(W.unboundedPreceding, 0))
-    ranked = ranked.withColumns({"n_lines": F.sum("copies").over(of_doc), "rest": rest})
+    rows = docs.where("content is not null").select("key", F.struct("seq", "key").alias("me"), _digest(F.col("content")).alias("id"), F.split("content", "\n", -1).alias("ls"))
+    own = rows.groupBy("id").agg(F.min("me").alias("head"), F.count(F.lit(1)).alias("docs"), F.max(F.size("ls")).cast("long").alias("n_lines"))
+    lines = rows.select("id", F.explode("ls").alias("line")).select("id", _digest(F.col("line")).alias("line")).groupBy("id", "line").agg(F.count(F.lit(1)).alias("all"))
+    # Counting what is above 0 keeps the column, so that both sides of the join read one exchange.
+    held = lines.groupBy("line").agg(F.count_if(F.col("all") > 0).alias("holders")).where("holders > 1")
+    found = lines.join(held, "line").join(own, "id")
+    found = found.select(F.struct("head", "id").alias("doc"), "n_lines", "line", F.expr("all div docs").alias("copies"), "holders")
+    shared = blobs.cut(found, "overlaps")
+
     need = F.ceil(F.col("n_lines") / 3)
-    prefix = ranked.where((F.col("n_lines") >= min_lines) & (F.col("rest") >= need) & (F.col("holders") > 1))
-    theirs = lines.select(F.col("id").alias("other_id"), F.col("head").alias("other_head"), "line")
-    pairs = prefix.join(theirs, "line").where(F.col("other_head") < F.col("head")).select("id", "n_lines", "other_id", "other_head").distinct()
-    met = pairs.join(lines.select("id", "line", "copies"), "id").join(theirs.select("other_id", "line"), ["other_id", "line"])
-    sums = met.groupBy("id", "n_lines", "other_head").agg(F.sum("copies").alias("overlap")).where(F.col("overlap") * 3 >= F.col("n_lines"))
-    best = sums.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "other_head")).alias("b"))
+    upto = W.partitionBy("doc").orderBy(F.desc("holders"), "line").rowsBetween(W.unboundedPreceding, 0)
+    able = shared.where(F.col("n_lines") >= min_lines)
+    rare = able.withColumn("rest", F.sum("copies").over(upto)).where((F.col("rest") >= need) & (F.col("holders") <= common))
+    probes = rare.select(F.col("doc").alias("asks"), F.col("doc.head").alias("before"), "line")
+    holding = shared.withColumnRenamed("doc", "other")
+    by_rare = _in_common(probes, holding.where(F.col("holders") <= common).select("other", "line"), able.select(F.col("doc").alias("asks"), "line", "copies"), holding.select("other", "line"))
+    by_rare = by_rare.select(F.col("asks.id").alias("id"), F.col("other.head").alias("other_head"), "overlap")
+
+    hot = shared.where(F.col("holders") > common).groupBy("doc", "n_lines").agg(F.array_sort(F.collect_list(F.struct((-F.col("holders")).alias("less"), "line", "copies"))).alias("hot"))
+    said = lambda one: F.sha2(F.array_join(F.transform("hot", one), ","), 256)
+    hot = hot.withColumns({"asks": said(lambda x: F.concat(F.hex(x["line"]), F.lit(" "), x["copies"].cast("string"))), "kind": said(lambda x: F.hex(x["line"]))})
+    theirs = hot.groupBy("kind").agg(F.min("doc").alias("other"), F.first("hot").alias("hot")).select("other", F.explode("hot.line").alias("line"))
+    asking = hot.where((F.col("n_lines") >= min_lines) & (F.aggregate("hot", F.lit(0).cast("long"), lambda n, x: n + x["copies"]) >= need))
+    mine = asking.groupBy("asks").agg(F.max("doc.head").alias("before"), F.min(need).alias("need"), F.first("hot").alias("hot")).select("asks", "before", "need", F.posexplode("hot").alias("at", "x"))
+    mine = mine.select("asks", "before", "need", "at", "x.line", "x.copies")
+    rest = F.sum("copies").over(W.partitionBy("asks").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    probes = mine.withColumn("rest", rest).where(F.col("rest") >= F.col("need")).select("asks", "before", "line")
+    by_set = _in_common(probes, theirs, mine.select("asks", "line", "copies"), theirs)
+    # For each number of lines in common, the earliest that has it.
+    by_set = by_set.groupBy("asks", "overlap").agg(F.min("other.head").alias("other_head"))
+    by_set = asking.select("asks", "doc").join(by_set, "asks").where(F.col("other_head") < F.col("doc.head")).select("doc.id", "other_head", "overlap")
+
+    best = by_rare.unionByName(by_set).groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("less"), "other_head")).alias("b"))
+    best = best.join(own.select("id", "n_lines"), "id").where(-F.col("b.less") * 3 >= F.col("n_lines")).select("id", "b")
     # A later copy of a content has its first document as a partner for all lines, unless that has such a partner itself.
-    n = F.size(F.split("content", "\n", -1)).cast("long")
-    each = rows.select("key", "id", F.struct("seq", "key").alias("me"), n.alias("n_lines")).join(own.select("id", "head"), "id").join(best, "id", "left")
+    each = rows.select("key", "id", "me", F.size("ls").cast("long").alias("n_lines")).join(own.select("id", "head"), "id").join(best, "id", "left")
     later = (F.col("me") != F.col("head")) & (F.col("n_lines") >= min_lines) & (F.coalesce(-F.col("b.less"), F.lit(0)) < F.col("n_lines"))
     out = each.select("key", F.when(later, F.col("head.key")).otherwise(F.col("b.other_head.key")).alias("other"), "n_lines", F.when(later, F.col("n_lines")).otherwise(-F.col("b.less")).alias("overlap"))
     return out.where("other is not null")

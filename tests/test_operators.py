@@ -175,6 +175,44 @@ def test_overlaps_match_brute_force(spark):
     assert got == brute_overlaps(rows)
 
 
+def overlap_rows():
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(150):
+        often = rng.sample(["x", "y", "z", "w"], rng.randint(0, 4))
+        often = [x for x in often for _ in range(rng.choice((1, 1, 2)))]
+        rows.append((k, rng.randint(0, 90), "\n".join([*often, *(f"own{k} {j}" if rng.random() < 0.7 else f"l{rng.randrange(25)}" for j in range(rng.randint(0, 6)))])))
+    return rows + [(k, rng.randint(0, 90), rows[k % 30][2]) for k in range(150, 180)]
+
+
+@pytest.mark.parametrize("common", [0, 1, 4, 30, 10**6])
+def test_overlaps_by_sets_of_common_lines(spark, common):
+    rows = overlap_rows()
+    got = {r.key: (r.other, r.n_lines, r.overlap) for r in sessions.overlaps(spark.createDataFrame(rows, "key long, seq long, content string"), common=common).collect()}
+    assert len(got) > 50 and got == brute_overlaps(rows)
+
+
+def most_joined(plan):
+    """The most rows that a join of an executed plan made."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return most_joined(plan.executedPlan())
+    if plan.nodeName().endswith("QueryStage"):
+        return most_joined(plan.plan())
+    metric = plan.metrics().get("numOutputRows")
+    own = metric.get().value() if "Join" in plan.nodeName() and metric.isDefined() else 0
+    return max([own, *(most_joined(plan.children().apply(i)) for i in range(plan.children().size()))])
+
+
+def test_overlaps_do_not_pair_all_holders_of_common_lines(spark):
+    rows = [(k, k, "\n".join(["head", "second", *(f"own {k} {j}" for j in range(3))])) for k in range(400)]
+    df = sessions.overlaps(spark.createDataFrame(rows, "key long, seq long, content string"))
+    got = {r.key: (r.other, r.n_lines, r.overlap) for r in df.collect()}
+    assert got == {k: (0, 5, 2) for k in range(1, 400)}
+    assert most_joined(df._jdf.queryExecution().executedPlan()) <= 4000
+
+
 def test_metrics(spark):
     ev = [("t", k, int(k >= 30), 10, 5) for k in range(50)] + [("u", k, int(k >= 40), 10, 5) for k in range(45)]
     df = spark.createDataFrame(ev, "tool string, seq long, is_retrieve int, bytes_saved long, bytes_retrieved long")
