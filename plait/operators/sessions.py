@@ -183,8 +183,8 @@ def overlaps(docs: DataFrame, min_lines: int = costs.CROSS_KEY_MIN_LINES, common
     rows = docs.where("content is not null").select("key", F.struct("seq", "key").alias("me"), _digest(F.col("content")).alias("id"), F.split("content", "\n", -1).alias("ls"))
     own = rows.groupBy("id").agg(F.min("me").alias("head"), F.count(F.lit(1)).alias("docs"), F.max(F.size("ls")).cast("long").alias("n_lines"))
     lines = rows.select("id", F.explode("ls").alias("line")).select("id", _digest(F.col("line")).alias("line")).groupBy("id", "line").agg(F.count(F.lit(1)).alias("all"))
-    # Counting what is above 0 keeps the column, so that both sides of the join read one exchange.
-    held = lines.groupBy("line").agg(F.count_if(F.col("all") > 0).alias("holders")).where("holders > 1")
+    # Written, as Spark divides the rows of one line among tasks only where a join reads its sides as they were dealt.
+    held = blobs.cut(lines.groupBy("line").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "overlaps")
     found = lines.join(held, "line").join(own, "id")
     found = found.select(F.struct("head", "id").alias("doc"), "n_lines", "line", F.expr("all div docs").alias("copies"), "holders")
     shared = blobs.cut(found, "overlaps")
